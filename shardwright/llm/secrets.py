@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import trees
 
 #: A candidate: a maximal run of 16 or more characters that keys, hashes and paths consist of.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_.-]{16,}+={0,2}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_.-]{16,}+={0,2}"
 #: Common pieces of identifiers and prose; what they cover of a candidate speaks against a secret.
 DICTIONARY = (
     "example", "sample", "test", "user", "name", "file", "path", "index", "main", "http", "https", "www", "com", "org", "net", "html", "php", "json", "mail", "data", "image", "config", "public", "static", "assets", "version", "release", "build",
@@ -26,11 +26,9 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     without a candidate, as most are, is only searched once.
     """
     found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"), F.regexp_extract_all(text_col, F.lit(f"({CANDIDATE})"), 1).alias("m")).where(F.size("m") > 0)
-    parts = found.select("doc_id", "m", F.split("t", CANDIDATE, -1).alias("p"))
+    parts = found.select("doc_id", "m", F.split("t", CANDIDATE, -1).alias("p"), F.monotonically_increasing_id().alias("row"))
     sizes = F.zip_with("m", F.slice("p", 1, F.size("m")), lambda m, p: F.struct(m.alias("secret"), F.char_length(p).alias("gap"), F.right(p, F.lit(48)).alias("before")))
-    parts = parts.select("doc_id", F.posexplode(F.zip_with(sizes, F.slice("p", 2, F.size("m")), lambda x, p: F.struct(x.secret.alias("secret"), x.gap.alias("gap"), x.before.alias("before"), F.left(p, F.lit(16)).alias("after")))).alias("n", "x"), F.monotonically_increasing_id().alias("row"))
-    from pyspark.sql import Window
-
+    parts = parts.select("doc_id", F.posexplode(F.zip_with(sizes, F.slice("p", 2, F.size("m")), lambda x, p: F.struct(x.secret.alias("secret"), x.gap.alias("gap"), x.before.alias("before"), F.left(p, F.lit(16)).alias("after")))).alias("n", "x"), "row")
     # Rows of one text follow each other; the running sum starts again for each.
     so_far = Window.partitionBy("row").orderBy("n")
     start = F.sum(F.col("x.gap") + F.char_length("x.secret")).over(so_far) - F.char_length("x.secret")
