@@ -95,7 +95,8 @@ def _link_back(x, graph, new, chosen, extra: int = 32):
     more[np.searchsorted(nodes, dst[ok]), place[ok]] = src[ok]
     for k in range(0, len(nodes), 512):
         at = nodes[k : k + 512]
-        ids = np.concatenate([graph[at], more[k : k + 512]], 1)
+        known = (more[k : k + 512, :, None] == graph[at][:, None, :]).any(axis=2)
+        ids = np.concatenate([graph[at], np.where(known, -1, more[k : k + 512])], 1)
         sims = np.einsum("qd,qkd->qk", x[at], x[np.maximum(ids, 0)])
         sims[ids < 0] = -np.inf
         order = np.argsort(-sims, axis=1, kind="stable")
