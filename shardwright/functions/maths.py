@@ -174,10 +174,14 @@ def gaps(values: Column) -> Column:
     return F.transform(values, lambda x, i: F.when(i == 0, x).otherwise(x - F.get(values, i - 1)))
 
 
+#: Codes that may be folded.
+SMALL = 5
+
+
 def delta16(values: list[int]) -> list[int]:
     """Code of an ascending list of distinct 16-bit numbers: the first value, then gaps less one; runs of equal codes are folded.
 
-    After a code below 2**15 the next number is doubled, or it is odd and tells how often that code comes again, less one.
+    After a code below SMALL the next number is doubled, or it is odd and tells how often that code comes again, less one.
     """
     from itertools import groupby
 
@@ -185,7 +189,7 @@ def delta16(values: list[int]) -> list[int]:
     runs = [(k, len(list(g))) for k, g in groupby(codes)] if codes else []
     out, doubled = [], False
     for code, n in runs:
-        small = code < 1 << 15
+        small = code < SMALL
         for _ in range(1 if small else n):
             out.append(code << doubled & 0xFFFF)
             doubled = small
@@ -206,7 +210,7 @@ def undelta16(codes: list[int]) -> list[int]:
             steps, doubled = [prev] * ((c >> 1) + 1), False
         else:
             prev = c >> 1 if doubled else c
-            steps, doubled = [prev], prev < 1 << 15
+            steps, doubled = [prev], prev < SMALL
         for s in steps:
             out.append(s if not out else out[-1] + s + 1)
     return out

@@ -120,11 +120,14 @@ def parse_double(c: Column) -> Column:
 
 def parse_int_base(c: Column, base: int) -> Column:
     """Digits of a base from 2 to 36, with a sign; null on other characters or beyond 64 bits."""
-    digits = _DIGITS[:base]
-    ok = F.upper(F.trim(c)).rlike(f"^-?[{digits}]+$")
-    value = F.conv(F.regexp_replace(F.trim(c), "^-", ""), base, 10).try_cast("decimal(20,0)")
-    signed = F.when(F.trim(c).startswith("-"), -value).otherwise(value)
-    return F.when(ok & (F.upper(F.conv(value.cast("string"), 10, base)) == F.regexp_replace(F.upper(F.regexp_replace(F.trim(c), "^-", "")), "^0+(?=.)", "")), signed.try_cast("bigint"))
+    digits, most = _DIGITS[:base], 1
+    while base**most < 1 << 63:
+        most += 1
+    sign_and = F.upper(F.trim(c))
+    plain = F.regexp_replace(F.regexp_replace(sign_and, "^-", ""), "^0+(?=.)", "")
+    number = F.aggregate(F.filter(F.split(plain, ""), lambda x: x != ""), F.lit(0).cast("decimal(38,0)"), lambda n, d: (n * base + F.instr(F.lit(digits), d) - 1).cast("decimal(38,0)"))
+    good = sign_and.rlike(f"^-?[{digits}]+$") & (F.length(plain) <= most)
+    return F.when(good, F.when(sign_and.startswith("-"), -number).otherwise(number)).try_cast("bigint")
 
 
 def leading_int(c: Column, default: int) -> Column:

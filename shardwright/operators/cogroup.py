@@ -5,9 +5,9 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 
@@ -32,41 +32,39 @@ def join_shards(inputs: list[tuple[DataFrame, str]], handler: Callable[[], Shard
     input; a shard is never collected, what a handler keeps is its own matter.  For joins and counts by key
     use DataFrame joins and groupBy, which spill and combine; this is for logic that has no such form.
     """
-    names = []
     tagged = []
     for k, (df, _) in enumerate(inputs):
         if shard not in df.columns:
             raise ValueError(f"input {k} has no column {shard}: it was not sharded")
         cols = [c for c in df.columns if c != shard]
-        names.append(cols)
         tagged.append(df.select(F.col(shard).cast("int").alias("__shard"), F.lit(k).alias("__input"), F.struct(*cols).alias(f"__r{k}")))
     union = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
     placed = union.repartitionById(n_shards, F.col("__shard")).sortWithinPartitions("__shard", "__input")
     methods = [m for _, m in inputs]
-    out_names = _parse_datatype_string(schema).names
+    kind = _parse_datatype_string(f"{schema}, {shard} int")
 
     def run(batches):
+        import pyarrow as pa
+
         h, now = handler(), None
+        names, arrow = kind.names, to_arrow_schema(kind)
 
-        def frame(rows, s):
-            out = pd.DataFrame(rows, columns=out_names)
-            out[shard] = s
-            return out
+        def batch(rows):
+            return pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], arrow)
 
-        for pdf in batches:
+        for b in batches:
             rows: list = []
-            for s, k, *records in pdf[["__shard", "__input", *(f"__r{i}" for i in range(len(methods)))]].itertuples(index=False):
+            for r in b.to_pylist():
+                s, k = r["__shard"], r["__input"]
                 if s != now:
                     if now is not None:
-                        rows += list(h.finish())
-                        yield frame(rows, now)
-                        rows = []
+                        rows += [(*x, now) for x in h.finish()]
                     now = s
-                    rows += list(h.start(int(s)))
-                rows += list(getattr(h, methods[k])(records[k]) or ())
+                    rows += [(*x, now) for x in h.start(s)]
+                rows += [(*x, now) for x in getattr(h, methods[k])(r[f"__r{k}"]) or ()]
             if rows:
-                yield frame(rows, now)
-        if now is not None and len(rows := list(h.finish())):
-            yield frame(rows, now)
+                yield batch(rows)
+        if now is not None and (rows := [(*x, now) for x in h.finish()]):
+            yield batch(rows)
 
-    return placed.mapInPandas(run, f"{schema}, {shard} int")
+    return placed.mapInArrow(run, kind)

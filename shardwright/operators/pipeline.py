@@ -38,23 +38,23 @@ class Table:
         elif schema is None:
             df = fn(self.df)
         else:
-            df = self.df.mapInPandas(functools.partial(_map_records, fn, _parse_datatype_string(schema).names), schema)
+            df = self.df.mapInArrow(functools.partial(_map_records, fn, _parse_datatype_string(schema)), schema)
         return Table(self.pipeline, name, df, shard=self.shard if self.shard in df.columns else None, n_shards=self.n_shards)
 
     def as_json(self, schema: str | None = None) -> Table:
         """Records of a read table parsed as JSON into a column json; bad records are dropped and counted as parse-errors."""
-        return self._parsed(files.parse_json(self.df, schema), F.col("json").isNotNull())
+        return self._parsed(lambda df: files.parse_json(df, schema), F.col("json").isNotNull())
 
     def as_type(self, decode: Callable[[Column], Column]) -> Table:
         """Records of a read table decoded into a column `record`; where the codec gives null the record is dropped and counted."""
-        return self._parsed(self.df.withColumn("record", decode(F.col("value"))), F.col("record").isNotNull())
+        return self._parsed(lambda df: df.withColumn("record", decode(F.col("value"))), F.col("record").isNotNull())
 
-    def _parsed(self, df: DataFrame, good: Column) -> Table:
+    def _parsed(self, parse: Callable[[DataFrame], DataFrame], good: Column) -> Table:
         if not self.identity:
             raise PipelineError(f"{self.name}: only a table as it was read can be given another type")
         seen = Observation(f"{self.name}-{len(self.pipeline.observations)}")
         self.pipeline.observations.append((self.name, seen))
-        df = df.observe(seen, F.count(F.lit(1)).alias("fn-calls"), F.count_if(~good).alias("parse-errors")).where(good)
+        df = parse(self.df).observe(seen, F.count(F.lit(1)).alias("fn-calls"), F.count_if(~good).alias("parse-errors")).where(good)
         return Table(self.pipeline, self.name, df, identity=False)
 
     def with_mod_n(self, n: int, value: Column) -> Table:
@@ -86,17 +86,22 @@ class Table:
         return self
 
 
-def _map_records(fn, names, batches):
-    import pandas as pd
+def _map_records(fn, kind, batches):
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
 
     h = fn() if isinstance(fn, type) else None
-    do = h.do if h else fn
-    for pdf in batches:
-        rows = [r for rec in pdf.to_dict("records") for r in (do(rec) or ())]
+    do, arrow = (h.do if h else fn), to_arrow_schema(kind)
+
+    def batch(rows):
+        return pa.RecordBatch.from_pylist([dict(zip(kind.names, r, strict=True)) for r in rows], arrow)
+
+    for b in batches:
+        rows = [r for rec in b.to_pylist() for r in (do(rec) or ())]
         if rows:
-            yield pd.DataFrame(rows, columns=names)
+            yield batch(rows)
     if h and hasattr(h, "finish") and (rows := list(h.finish() or ())):
-        yield pd.DataFrame(rows, columns=names)
+        yield batch(rows)
 
 
 class Pipeline:

@@ -133,4 +133,4 @@ def wet_pages(df: DataFrame, file: str = "file", text: str = "content") -> DataF
     parts = df.select(file, F.explode(F.split(text, r"(?m)^WARC/1\.0\r?$")).alias("r")).where(F.col("r").rlike(r"WARC-Type:\s*conversion"))
     uri = F.regexp_extract("r", r"WARC-Target-URI:\s*(\S+)", 1)
     body = F.regexp_replace(F.regexp_extract("r", r"(?s)\r?\n\r?\n(.*)$", 1), r"[^\w\p{L}\p{P}\s]", " ")
-    return parts.select(F.col(file).alias("file"), uri.alias("uri"), F.trim(body).alias("body"))
+    return parts.select(F.col(file).alias("file"), uri.alias("uri"), F.regexp_replace(body, r"^\s+|\s+\z", "").alias("body"))
