@@ -73,6 +73,34 @@ def round_off_bits(x: Column, bits: int) -> Column:
     return F.when(x == 0, x).otherwise(F.rint(x / unit) * unit)
 
 
+def shortest(c: Column, single: bool = False) -> Column:
+    """The shorter of two printf formats that reads back as the same number: 15 or 17 digits, for floats 6 or 8."""
+    import numpy as np
+
+    few, most = (6, 8) if single else (15, 17)
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        kind = np.float32 if single else np.float64
+        return s.map(lambda v: None if v is None or v is pd.NA else next((t for t in (f"{v:.{few}g}",) if kind(t) == kind(v)), f"{v:.{most}g}"))
+
+    return run(c)
+
+
+def to_decimal(c: Column) -> Column:
+    """(significand, exponent, digits) of a double: the shortest decimal that reads back as it."""
+
+    @F.pandas_udf("significand bigint, exponent int, digits int")
+    def run(s: pd.Series) -> pd.DataFrame:
+        from decimal import Decimal
+
+        parts = [Decimal(repr(float(v))).normalize().as_tuple() for v in s]
+        rows = [((-1 if t.sign else 1) * int("".join(map(str, t.digits))), t.exponent, len(t.digits)) for t in parts]
+        return pd.DataFrame(rows, columns=["significand", "exponent", "digits"])
+
+    return run(c)
+
+
 # Vectors are arrays of doubles.
 
 def dot(a: Column, b: Column) -> Column:

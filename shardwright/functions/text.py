@@ -196,3 +196,24 @@ def csv_fields(c: Column, delimiter: str = ",") -> Column:
 def words(c: Column) -> Column:
     """The maximal runs of letters."""
     return F.regexp_extract_all(c, F.lit(r"(\p{L}+)"), 1)
+
+
+def python_json(c: Column) -> Column:
+    """JSON out of a printed Python literal: escapes of bytes become spaces, None, True and False their JSON names, and
+    single quotes that open or close a string double ones (apostrophes inside words stay)."""
+    out = F.regexp_replace(c, r"\\x[0-9a-fA-F]{2}", " ")
+    out = F.regexp_replace(out, r"(?<=[:\[,{]\s?)'|'(?=\s?[:\],}])", '"')
+    for name, to in (("None", "null"), ("True", "true"), ("False", "false")):
+        out = F.regexp_replace(out, rf"(?<=[:\[,]\s?){name}(?=\s?[,\]}}])", to)
+    return out
+
+
+def html_table(df, most_rows: int = 1000) -> str:
+    """A sortable HTML table of at most `most_rows` rows, for a report page."""
+    import html
+
+    rows = df.limit(most_rows).collect()
+    cell = lambda tag, v: f"<{tag}>{html.escape('' if v is None else str(v))}</{tag}>"
+    head = "".join(cell("th", c) for c in df.columns)
+    body = "".join("<tr>" + "".join(cell("td", v) for v in r) + "</tr>" for r in rows)
+    return f'<table class="sortable"><thead><tr>{head}</tr></thead><tbody>{body}</tbody></table>'

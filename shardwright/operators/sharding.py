@@ -23,3 +23,24 @@ def place(df: DataFrame, n: int, column: str = "shard") -> DataFrame:
 def shard_name(table: str, shard: Column) -> Column:
     """<table>-shard-0007 for numbered shards; named shards are their own name."""
     return F.format_string(f"{table}-shard-%04d", shard)
+
+
+def limit_per_task(df: DataFrame, n: int) -> DataFrame:
+    """At most n rows of each task's input, for a look at a pipeline on little data; n = 0 is no limit. (A global limit is DataFrame.limit.)"""
+    if not n:
+        return df
+
+    def run(batches):
+        left = n
+        for b in batches:
+            if left <= 0:
+                return
+            yield b.slice(0, left)
+            left -= b.num_rows
+
+    return df.mapInArrow(run, df.schema)
+
+
+def read_only(df: DataFrame) -> None:
+    """Read and compute every row and keep nothing: the ceiling of a pipeline's input."""
+    df.write.format("noop").mode("overwrite").save()

@@ -449,3 +449,98 @@ def bit_functions(spark, sf_dir):
 def count_bytes_lines(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", text.count_byte(F.col("text"), "e").cast("bigint").alias("es"), F.size(text.lines(F.col("text"))).cast("bigint").alias("n_lines"))
+
+
+# ---- sets, order, codecs, streams
+
+
+@query("SELECT k, 'both' AS side FROM (SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_nationkey < 5) UNION ALL SELECT k, 'customer' FROM (SELECT c_custkey AS k FROM customer WHERE c_nationkey < 5 EXCEPT SELECT o_custkey FROM orders)")
+def set_operations(spark, sf_dir):
+    a = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"))
+    b = table(spark, sf_dir, "customer").where("c_nationkey < 5").select(F.col("c_custkey").alias("k"))
+    return a.intersect(b).withColumn("side", F.lit("both")).unionByName(b.subtract(a).withColumn("side", F.lit("customer")))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+def top_orders(spark, sf_dir):
+    """A top-k report: each task keeps k rows."""
+    return table(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25).select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT o_custkey, o_orderkey, CAST(rn AS INTEGER) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 3")
+def top_per_customer(spark, sf_dir):
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return table(spark, sf_dir, "orders").withColumn("rn", F.row_number().over(w)).where("rn <= 3").select("o_custkey", "o_orderkey", "rn")
+
+
+@query("SELECT o_orderkey, l_linenumber AS n, l_returnflag AS flag FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 3 = 0")
+def explode_json_array(spark, sf_dir):
+    """Printed Python lists of records, cleaned, parsed and flattened with their parent's key."""
+    line = lambda x: F.format_string("{'n': %d, 'flag': '%s', 'path': None}", x.linenumber, x.returnflag)
+    dirty = nested_orders(spark, sf_dir).where("o_orderkey % 3 = 0 and lines is not null").select("o_orderkey", F.concat(F.lit("["), F.array_join(F.transform("lines", line), ", "), F.lit("]")).alias("j"))
+    x = F.explode(F.from_json(text.python_json(F.col("j")), "array<struct<n: int, flag: string>>"))
+    return dirty.select("o_orderkey", x.alias("x")).select("o_orderkey", "x.n", "x.flag")
+
+
+@query("SELECT c_custkey, c_name FROM customer")
+def lst_round_trip(spark, sf_dir):
+    """Records through the block format and back, one block file for each task, in memory."""
+    from .sources.lst import Decoder, encode
+
+    def write(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            data = b"".join(encode((f"{k},{n}".encode() for k, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), {"kind": b"customer"}, compress=True))
+            yield pa.RecordBatch.from_arrays([pa.array([data])], ["file"])
+
+    def read(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for data in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([r.decode() for r in Decoder(data).records()], pa.string())], ["line"])
+
+    back = table(spark, sf_dir, "customer").select("c_custkey", "c_name").mapInArrow(write, "file binary").mapInArrow(read, "line string")
+    f = back.select(text.csv_fields(F.col("line")).alias("f"))
+    return f.select(F.col("f")[0].cast("bigint").alias("c_custkey"), F.col("f")[1].alias("c_name"))
+
+
+@query("SELECT vec_id, round(m[1] * (m[5] * m[9] - m[6] * m[8]) - m[2] * (m[4] * m[9] - m[6] * m[7]) + m[3] * (m[4] * m[8] - m[5] * m[7]), 8) AS det, round(m[1] + m[5] + m[9], 6) AS trace FROM (SELECT vec_id, [x::DOUBLE for x in embedding[1:9]] AS m FROM embeddings)")
+def matrix_det_trace(spark, sf_dir):
+    e = F.transform("embedding", lambda x: x.cast("double"))
+    m = F.array(*(F.slice(e, 3 * i + 1, 3) for i in range(3)))
+    return table(spark, sf_dir, "embeddings").select("vec_id", m.alias("m")).select("vec_id", F.round(maths.det3(F.col("m")), 8).alias("det"), F.round(maths.trace3(F.col("m")), 6).alias("trace"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size < 10 THEN p_size || 'B' WHEN p_size < 30 THEN p_size || '.5K' ELSE p_size || 'M' END AS size, CASE WHEN p_size < 10 THEN p_size WHEN p_size < 30 THEN (p_size + 0.5) * 1024 ELSE p_size * 1048576 END::DOUBLE AS bytes FROM part")
+def parse_human_sizes(spark, sf_dir):
+    n = F.col("p_size").cast("string")
+    size = F.when(F.col("p_size") < 10, F.concat(n, F.lit("B"))).when(F.col("p_size") < 30, F.concat(n, F.lit(".5K"))).otherwise(F.concat(n, F.lit("M")))
+    return table(spark, sf_dir, "part").select("p_partkey", size.alias("size")).withColumn("bytes", text.parse_human_bytes(F.col("size")))
+
+
+@query()
+def line_hash_shards(spark, sf_dir):
+    """Lines dealt into named shards by a stable hash."""
+    from .functions.hashing import xxh3_shard
+
+    d = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
+    return d.groupBy(F.format_string("shard-%04d", xxh3_shard(F.col("line"), 10)).alias("shard")).agg(F.count(F.lit(1)).alias("cnt"))
+
+
+@query("""SELECT CAST(epoch(date_trunc('hour', ts)) + 3600 * (k + 1) AS BIGINT) AS end_s, event_type, count(*) AS total
+ FROM events, (SELECT unnest(range(6)) AS k) GROUP BY 1, 2""")
+def stream_sliding_counts(spark, sf_dir):
+    """The sliding counter as a stream that reads the events as files, run until it has seen all of them."""
+    import uuid
+
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    name = f"sliding_{uuid.uuid4().hex}"
+    counts = counters.stream_counts(stream, "ts", ["event_type"], 6, 3600)
+    writer = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True)
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        writer = writer.option("checkpointLocation", f"{base}/{name}")
+    writer.start().awaitTermination()
+    return spark.table(name).select(F.unix_seconds("end").alias("end_s"), "event_type", "total")
