@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 from .common import cut
 from .components import connected_components
 
+#: Fingerprints whose variants one task makes.
+TASK_NODES = 20_000
 #: Rows of a table that may be sent whole to every executor; counted before it is.
 BROADCAST_ROWS = 100_000
 
@@ -69,6 +71,8 @@ def ball_edges(nodes: DataFrame, radius: int = 2) -> DataFrame:
     if radius == 4:
         flips += [1 << i | 1 << j for i in range(64) for j in range(i)]
     signed = [x - (1 << 64) if x >> 63 else x for x in flips]
+    # A fingerprint is 8 bytes and becomes len(flips) rows: Spark, which deals by bytes, would give too many to a task.
+    nodes = nodes.repartition(max(1, -(-nodes.count() * len(flips) // (65 * TASK_NODES))), "fp")
     if radius == 4:
         variants = nodes.select("fp", F.explode(F.array(*map(F.lit, signed))).alias("x")).select("fp", F.col("fp").bitwiseXOR(F.col("x")).alias("v"))
     else:
