@@ -13,6 +13,8 @@ BUCKETS = 1 << 15
 CLASSES, TAIL = 256, 64
 #: Words of the window on each side, and the width of the hidden layer.
 SIDE, WIDTH = 2, 24
+#: Bytes of text whose words are hashed at once (a longer text is taken whole); the arrays for that take some fifty times as much.
+PIECE = 500_000
 _P = 0x9E3779B97F4A7C15 | 1
 _POWERS: list = []
 
@@ -57,7 +59,7 @@ def bucket_counts(docs: DataFrame, text_col: str = "text"):
 
         total = np.zeros(BUCKETS, np.int64)
         for b in batches:
-            for _, texts in in_pieces(b, "t"):
+            for _, texts in in_pieces(b, "t", PIECE):
                 total += np.bincount(word_buckets(texts)[0], minlength=BUCKETS)
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["bucket", "n"])
@@ -163,18 +165,16 @@ def fit_lm(docs: DataFrame, rounds: int = 2, every: int = 32, rate: float = 0.1,
         begin = flat.copy()
 
         def run(batches, begin=begin, r=r):
-            import os
-
             import numpy as np
-            import pandas as pd
+            import pyarrow as pa
+            from pyspark import TaskContext
 
             flat, seen, rest = begin.copy(), 0, []
             params = _unpack(flat)
             sums = [np.full_like(x, 1e-4) for x in params]
             step = every // max(1, rounds)
-            for pdf in batches:
-                for first in range(0, len(pdf), 256):
-                    texts = [(t or "").encode() for t in pdf.t.iloc[first : first + 256]]
+            for b in batches:
+                for _, texts in in_pieces(b, "t", PIECE):
                     buckets, per = word_buckets(texts)
                     classes = cls[buckets].astype(np.int64)
                     at = np.arange(len(classes))
@@ -191,9 +191,10 @@ def fit_lm(docs: DataFrame, rounds: int = 2, every: int = 32, rate: float = 0.1,
                 ctx, y = (np.concatenate(x) for x in zip(*rest, strict=True))
                 _step(params, sums, ctx, y, rate)
             if seen:
-                group = int.from_bytes(os.urandom(4), "little") % groups
+                group = TaskContext.get().partitionId() % groups
                 out = np.array_split(np.concatenate([x.ravel() for x in params]).astype(np.float64) * seen, parts)
-                yield pd.DataFrame({"part": range(parts), "grp": group, "seen": seen, "x": [v.tobytes() for v in out]})
+                ints = lambda v, kind=pa.int32(): pa.array(v, kind)
+                yield pa.RecordBatch.from_arrays([ints(range(parts)), ints([group] * parts), ints([seen] * parts, pa.int64()), pa.array([v.tobytes() for v in out])], ["part", "grp", "seen", "x"])
 
         def add(pdf):
             import numpy as np
@@ -203,7 +204,7 @@ def fit_lm(docs: DataFrame, rounds: int = 2, every: int = 32, rate: float = 0.1,
             return pd.DataFrame({"part": [int(pdf.part.iloc[0])], "grp": [0], "seen": [int(pdf.seen.sum())], "x": [x.tobytes()]})
 
         kind = "part int, grp int, seen bigint, x binary"
-        got = docs.select(F.col(text_col).alias("t")).mapInPandas(run, kind).groupBy("part", "grp").applyInPandas(add, kind).groupBy("part").applyInPandas(add, kind).collect()
+        got = docs.select(F.col(text_col).alias("t")).mapInArrow(run, kind).groupBy("part", "grp").applyInPandas(add, kind).groupBy("part").applyInPandas(add, kind).collect()
         if got:
             flat = np.concatenate([np.frombuffer(r.x, np.float64) / r.seen for r in sorted(got, key=lambda r: r.part)]).astype(np.float32)
     return {"classes": cls, "within": within, "flat": flat}
@@ -224,7 +225,7 @@ def score_lm(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 
         params = _unpack(flat)
         for b in batches:
-            for first, texts in in_pieces(b, "t", 2_000_000):
+            for first, texts in in_pieces(b, "t", PIECE):
                 buckets, per = word_buckets(texts)
                 classes = cls[buckets].astype(np.int64)
                 ctx = contexts(classes, per)
