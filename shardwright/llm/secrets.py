@@ -63,7 +63,7 @@ def labelled_findings(spark: SparkSession, n: int = 4000, seed: int = 7) -> Data
     """(secret, before, after, label): n labelled findings, the same at every call.
 
     Half are secrets (keys, tokens, passwords in hex, base64 or mixed letters, named or bare with a vendor's prefix);
-    half are what pattern scans report by mistake: long words, hosts, file paths, card and order numbers, UUIDs,
+    half are what pattern scans report by mistake: long words in any case, names in camel case, hosts, file paths, card and order numbers, UUIDs,
     checksums of files and packages, placeholders.
     """
     import random
@@ -96,7 +96,8 @@ def labelled_findings(spark: SparkSession, n: int = 4000, seed: int = 7) -> Data
             before, after = lead, tail
             s = r.choice(
                 [
-                    lambda: word(6, 10) + r.choice(["", "."]),
+                    lambda: r.choice([str.lower, str.upper, str.capitalize, str.title])(word(6, 10)) + r.choice(["", ".", "..."]),
+                    lambda: "".join(word(2, 3).capitalize() for _ in range(r.randint(3, 5))),
                     lambda: r.choice(["mail", "www.", "img", "cdn"]) + str(r.randint(0, 9)) + "." + word(1, 3) + r.choice([".example.com", ".example.org", ".com"]),
                     lambda: "/".join(word(1, 2) for _ in range(r.randint(3, 6))) + r.choice([".html", ".py", ".jpg", "/"]),
                     lambda: rand(string.digits, 16, 22),
@@ -119,7 +120,7 @@ def fit_findings(labelled: DataFrame, most_rows: int = 20_000) -> dict:
     """A forest from labelled findings, of which at most `most_rows` (first by a hash) are read."""
     rows = labelled.orderBy(F.xxhash64("secret", "before"), "secret", "before", "after", "label").limit(most_rows)
     data = sorted(tuple(r) for r in with_features(rows).select(*FEATURES, "label").collect())
-    return trees.forest([r[:-1] for r in data], [r[-1] for r in data])
+    return trees.forest([r[:-1] for r in data], [r[-1] for r in data], trees=20, depth=5)  # code generation has a limit on the size of one method
 
 
 def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
