@@ -20,19 +20,23 @@ FEATURES = ("length", "transitions", "classes", "digit_ratio", "upper_ratio", "h
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, start, secret, before, after): every candidate of every whole text, n from 0, start in code points.
+    """(doc_id, row, n, gap, secret, before, after): every candidate of every whole text, n from 0; row numbers the texts,
+    gap is the number of code points since the candidate before.
 
-    The text is split at the candidates, so places and neighbours come from running sums over the pieces; a text
-    without a candidate, as most are, is only searched once.
+    The text is split at the candidates, so neighbours come from the pieces around them; a text without a candidate,
+    as most are, is only searched once.
     """
     found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"), F.regexp_extract_all(text_col, F.lit(f"({CANDIDATE})"), 1).alias("m")).where(F.size("m") > 0)
     parts = found.select("doc_id", "m", F.split("t", CANDIDATE, -1).alias("p"), F.monotonically_increasing_id().alias("row"))
     sizes = F.zip_with("m", F.slice("p", 1, F.size("m")), lambda m, p: F.struct(m.alias("secret"), F.char_length(p).alias("gap"), F.right(p, F.lit(48)).alias("before")))
-    parts = parts.select("doc_id", F.posexplode(F.zip_with(sizes, F.slice("p", 2, F.size("m")), lambda x, p: F.struct(x.secret.alias("secret"), x.gap.alias("gap"), x.before.alias("before"), F.left(p, F.lit(16)).alias("after")))).alias("n", "x"), "row")
-    # Rows of one text follow each other; the running sum starts again for each.
+    parts = parts.select("doc_id", "row", F.posexplode(F.zip_with(sizes, F.slice("p", 2, F.size("m")), lambda x, p: F.struct(x.secret.alias("secret"), x.gap.alias("gap"), x.before.alias("before"), F.left(p, F.lit(16)).alias("after")))).alias("n", "x"))
+    return parts.select("doc_id", "row", "n", "x.gap", "x.secret", "x.before", "x.after")
+
+
+def with_starts(found: DataFrame) -> DataFrame:
+    """candidates() with start, the place in the text in code points: a running sum over the candidates of each text."""
     so_far = Window.partitionBy("row").orderBy("n")
-    start = F.sum(F.col("x.gap") + F.char_length("x.secret")).over(so_far) - F.char_length("x.secret")
-    return parts.withColumn("start", start.cast("long")).select("doc_id", "n", "start", "x.secret", "x.before", "x.after")
+    return found.withColumn("start", (F.sum(F.col("gap") + F.char_length("secret")).over(so_far) - F.char_length("secret")).cast("long"))
 
 
 def with_features(found: DataFrame) -> DataFrame:
@@ -133,8 +137,9 @@ def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, threshold:
     """
     model = fit_findings(labelled if labelled is not None else labelled_findings(docs.sparkSession))
     found = with_features(candidates(docs, id_col, text_col))
-    found = found.withColumn("score", F.round(trees.score(model, [F.col(c) for c in FEATURES]), 9))
-    return found.select(F.col("doc_id").alias(id_col), "n", "start", "secret", "score", (F.col("score") >= threshold).alias("is_secret"))
+    # Scored before the shuffle that numbers the places: neighbours stay behind, and no later filter repeats the trees.
+    found = found.select("doc_id", "row", "n", "gap", "secret", F.round(trees.score(model, [F.col(c) for c in FEATURES]), 9).alias("score"))
+    return with_starts(found).select(F.col("doc_id").alias(id_col), "n", "start", "secret", "score", (F.col("score") >= threshold).alias("is_secret"))
 
 
 def redact(docs: DataFrame, findings: DataFrame, mark: str = "<SECRET>", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
