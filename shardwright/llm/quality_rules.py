@@ -151,24 +151,20 @@ def train_crf(texts: list[bytes], quality: list[int], rounds: int = 150, rate: f
     for k in range(1, rounds + 1):
         s = np.zeros((n, t))
         s[seq, pos] = f @ w
-        fwd, bwd = np.zeros((n, t, 2)), np.zeros((n, t, 2))
-        fwd[:, 0, 1] = s[:, 0]
-        trans = np.array([[stay, 0.0], [0.0, stay]])
+        # Log sums over all labellings up to and from each line, one array for each label (0 boilerplate, 1 content).
+        f0, f1, b0, b1 = np.zeros((n, t)), s.copy(), np.zeros((n, t)), np.zeros((n, t))
         for i in range(1, t):
-            step = np.logaddexp.reduce(fwd[:, i - 1, :, None] + trans, axis=1)
-            step[:, 1] += s[:, i]
-            fwd[:, i] = np.where(mask[:, i, None], step, fwd[:, i - 1])
+            here = mask[:, i]
+            f0[:, i] = np.where(here, np.logaddexp(f0[:, i - 1] + stay, f1[:, i - 1]), f0[:, i - 1])
+            f1[:, i] = np.where(here, np.logaddexp(f0[:, i - 1], f1[:, i - 1] + stay) + s[:, i], f1[:, i - 1])
         for i in range(t - 2, -1, -1):
-            nxt = bwd[:, i + 1] + np.stack([np.zeros(n), s[:, i + 1]], 1)
-            bwd[:, i] = np.where(mask[:, i + 1, None], np.logaddexp.reduce(trans + nxt[:, None, :], axis=2), 0)
-        z = np.logaddexp.reduce(fwd[:, -1], axis=1)
-        p = np.exp(np.minimum(fwd[:, :, 1] + bwd[:, :, 1] - z[:, None], 0)) * mask
-        same = 0.0
-        for i in range(t - 1):
-            e = np.stack([np.zeros(n), s[:, i + 1]], 1)
-            m = fwd[:, i, :, None] + trans + (e + bwd[:, i + 1])[:, None, :] - z[:, None, None]
-            m = np.exp(np.minimum(m, 0)) * (pair[:, i] * weight)[:, None, None]
-            same = same + m[:, 0, 0].sum() + m[:, 1, 1].sum()
+            here, after = mask[:, i + 1], b1[:, i + 1] + s[:, i + 1]
+            b0[:, i] = np.where(here, np.logaddexp(b0[:, i + 1] + stay, after), 0)
+            b1[:, i] = np.where(here, np.logaddexp(b0[:, i + 1], after + stay), 0)
+        z = np.logaddexp(f0[:, -1], f1[:, -1])[:, None]
+        p = np.exp(np.minimum(f1 + b1 - z, 0)) * mask
+        kept = np.exp(np.minimum(f0[:, :-1] + stay + b0[:, 1:] - z, 0)) + np.exp(np.minimum(f1[:, :-1] + stay + s[:, 1:] + b1[:, 1:] - z, 0))
+        same = (kept * pair * weight[:, None]).sum()
         g = np.append((((gold - p) * mask * weight[:, None])[seq, pos]) @ f, (pair * weight[:, None]).sum() - same) / weight.sum() / 5
         g -= l2 * np.append(w, stay)
         mw, vw = 0.9 * mw + 0.1 * g, 0.99 * vw + 0.01 * g * g
