@@ -203,6 +203,7 @@ def nearest(embeddings: DataFrame, is_query=None, k: int = 20, shard_rows: int =
     scores are sums of products in double precision, in order of the components; ties go to the smaller id.
 
     Vectors null, empty, zero or with null or non-finite components take no part, neither do rows with a null id.
+    Equal vectors of a shard are one node of its graph, so copies of one vector in any number crowd out nothing.
     Rows repeating an id are one (the smallest vector).  Only vectors of as many components as the query's are compared.  With
     fewer candidates than k, all are returned; an empty table gives no rows.
     """
@@ -222,14 +223,20 @@ def nearest(embeddings: DataFrame, is_query=None, k: int = 20, shard_rows: int =
         out = []
         dims = pdf.v.map(len)
         for d in sorted(dims.unique()):
-            part = pdf[dims == d].sort_values("id")
-            v = np.array(part.v.tolist(), dtype)
+            part = pdf[dims == d]
+            # Equal vectors are one node; its ids follow each other, smallest first.
+            v, node = np.unique(np.array(part.v.tolist(), dtype), axis=0, return_inverse=True)
             index = build_graph(v, m, ef)
             wide, exact = calibrate(index, k)
-            out.append((int(pdf.shard.iloc[0]), int(d), part.id.to_numpy(np.int64)[index["perm"]].tobytes(), v[index["perm"]].tobytes(), index["x"][:, -1].tobytes(), index["sizes"], [g.tobytes() for g in index["graphs"]], wide, exact))
-        return pd.DataFrame(out, columns=["shard", "dim", "ids", "vectors", "last", "sizes", "graphs", "ef", "exact"])
-
-    kind = "shard int, dim int, ids binary, vectors binary, last binary, sizes array<int>, graphs array<binary>, ef int, exact boolean"
+            perm = index["perm"]
+            place = np.empty(len(perm), np.int64)
+            place[perm] = np.arange(len(perm))
+            node, ids = place[node.ravel()], part.id.to_numpy(np.int64)
+            ids, counts = ids[np.lexsort((ids, node))], np.bincount(node).astype(np.int64)
+            out.append((int(pdf.shard.iloc[0]), int(d), ids.tobytes(), counts.tobytes(), v[perm].tobytes(), index["x"][:, -1].tobytes(), index["sizes"], [g.tobytes() for g in index["graphs"]], wide, exact))
+        return pd.DataFrame(out, columns=["shard", "dim", "ids", "counts", "vectors", "last", "sizes", "graphs", "ef", "exact"])
+
+    kind = "shard int, dim int, ids binary, counts binary, vectors binary, last binary, sizes array<int>, graphs array<binary>, ef int, exact boolean"
     index = cut(good.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(build, kind))
     q = good.where(query).withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int"))
     q = q.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
@@ -245,21 +252,27 @@ def nearest(embeddings: DataFrame, is_query=None, k: int = 20, shard_rows: int =
             own = qs[dims == r.dim]
             if not len(own):
                 continue
-            ids = np.frombuffer(r.ids, np.int64)
+            ids, counts = np.frombuffer(r.ids, np.int64), np.frombuffer(r.counts, np.int64)
+            starts, copies = np.cumsum(counts) - counts, np.arange(min(k + 1, counts.max()))
             v = np.frombuffer(r.vectors, dtype).reshape(-1, r.dim)
             x = np.concatenate([v.astype(np.float32), np.frombuffer(r.last, np.float32)[:, None]], 1)
             graphs = [np.frombuffer(g, np.int32).reshape(s, -1) for g, s in zip(r.graphs, r.sizes, strict=True)]
             for first in range(0, len(own), 256):
                 part = own.iloc[first : first + 256]
                 qv = np.array(part.v.tolist(), dtype)
-                _, found = search_graph({"x": x, "graphs": graphs, "exact": r.exact}, qv, min(len(ids), k + 24) if r.exact else r.ef)
+                _, found = search_graph({"x": x, "graphs": graphs, "exact": r.exact}, qv, min(len(v), k + 24) if r.exact else r.ef)
                 # Exact scores of what was found, in double precision and in the order of the components.
                 s = np.zeros(found.shape)
                 for j in range(r.dim):
                     s += qv[:, j, None].astype(np.float64) * v[np.maximum(found, 0), j].astype(np.float64)
+                s[found < 0] = -np.inf
+                # The k + 1 best nodes, and of each the k + 1 smallest ids, hold the k best of all other rows.
+                order = np.lexsort((ids[starts[np.maximum(found, 0)]], -s), axis=1)[:, : k + 1]
+                s, node = np.take_along_axis(s, order, 1), np.maximum(np.take_along_axis(found, order, 1), 0)
                 qid = part.id.to_numpy(np.int64)
-                hit = ids[np.maximum(found, 0)]
-                s[(found < 0) | (hit == qid[:, None])] = -np.inf
+                hit = ids[np.minimum(starts[node][:, :, None] + copies, len(ids) - 1)]
+                s = np.where((copies < counts[node][:, :, None]) & (hit != qid[:, None, None]), s[:, :, None], -np.inf).reshape(len(qid), -1)
+                hit = hit.reshape(s.shape)
                 order = np.lexsort((hit, -s), axis=1)[:, :k]
                 s, hit = np.take_along_axis(s, order, 1), np.take_along_axis(hit, order, 1)
                 ok = s > -np.inf
