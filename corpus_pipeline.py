@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from shardwright.llm import line_dedup, mixing, packing, quality_rules, queries, simhash
-from shardwright.llm.common import shared_dir
+from shardwright.llm.common import remove, shared_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +45,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written to the shared checkpoint folder and read again."""
+    """All stages over documents; each result is written to the shared checkpoint folder and read again.
+
+    A stage's table goes once the next one is written: only the last stays, for the caller to read.
+    """
     docs, at = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}_{name}")
         docs = spark.read.parquet(f"{at}/{k}_{name}")
+        if k:
+            remove(spark, f"{at}/{k - 1}_{STAGES[k - 1][0]}")
     return docs

@@ -27,6 +27,12 @@ def has_table(spark: SparkSession, sf_dir: str, name: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that this library has written, through the path's own file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints: spark.checkpoint.dir as the cluster names it; a temporary one only where it is unset (local tests)."""
     sc = spark.sparkContext
