@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shardwright.llm import line_dedup, mixing, packing, quality_rules, queries, simhash
+from shardwright.llm import line_dedup, mixing, near_copies, packing, quality_rules, queries
 from shardwright.llm.common import remove, shared_dir
 
 
@@ -24,8 +24,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more) stays."""
+    return near_copies.drop_near_copies(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
