@@ -139,11 +139,20 @@ def _step(params, sums, ctx, target, rate):
         x -= rate * g / np.sqrt(s)
 
 
-def fit_lm(docs: DataFrame, rounds: int = 2, every: int = 32, rate: float = 0.1, batch: int = 1024, seed: int = 0, text_col: str = "text") -> dict:
+def targets(per_text, every: int, rounds: int, r: int):
+    """The words masked in round r: each `every`-th of each text, from another place each round.  With as many rounds as `every`, each word is masked once."""
+    import numpy as np
+
+    at = np.arange(int(np.sum(per_text)))
+    begins = np.repeat(np.cumsum(per_text) - per_text, per_text)
+    return at[(at - begins) % every == (begins + r * (every // max(1, rounds))) % every]
+
+
+def fit_lm(docs: DataFrame, rounds: int = 2, every: int = 2, rate: float = 0.1, batch: int = 1024, seed: int = 0, text_col: str = "text") -> dict:
     """The network, trained on the whole corpus.
 
     Words are counted over all documents; then in each of `rounds` rounds every task masks each `every`-th word of
-    all its texts, in another place each round, takes Adagrad steps from the common start, and the tasks' networks are averaged by
+    all its texts, in another place each round (by default every word of the corpus is masked once), takes Adagrad steps from the common start, and the tasks' networks are averaged by
     the number of words they saw: parts of the network travel as rows and are added up in two levels, and one
     network of a fixed size (30,000 numbers) reaches the driver.
     """
@@ -172,14 +181,11 @@ def fit_lm(docs: DataFrame, rounds: int = 2, every: int = 32, rate: float = 0.1,
             flat, seen, rest = begin.copy(), 0, []
             params = _unpack(flat)
             sums = [np.full_like(x, 1e-4) for x in params]
-            step = every // max(1, rounds)
             for b in batches:
                 for _, texts in in_pieces(b, "t", PIECE):
                     buckets, per = word_buckets(texts)
                     classes = cls[buckets].astype(np.int64)
-                    at = np.arange(len(classes))
-                    begins = np.repeat(np.cumsum(per) - per, per)
-                    picks = at[(at - begins) % every == (begins + r * step) % every]  # one in `every` of each text
+                    picks = targets(per, every, rounds, r)
                     seen += len(picks)
                     rest.append((contexts(classes, per, picks), classes[picks]))
                     if sum(len(x[1]) for x in rest) >= batch:

@@ -1,0 +1,14 @@
+"""Every word is a training target under the defaults of fit_lm()."""
+
+import inspect
+
+import numpy as np
+
+from shardwright.llm import lm_score
+
+
+def test_defaults_mask_every_word_once():
+    p = {k: v.default for k, v in inspect.signature(lm_score.fit_lm).parameters.items()}
+    per = np.array([1, 0, 2, 3, 16, 17, 100])
+    seen = np.concatenate([lm_score.targets(per, p["every"], p["rounds"], r) for r in range(p["rounds"])])
+    assert sorted(seen.tolist()) == list(range(per.sum()))
