@@ -57,7 +57,7 @@ def pack(docs: DataFrame, capacity: int = 2048, per_source: int = 2, shard_items
     (repeated rows have equal texts and so do not share a bin).  An empty table gives no rows.
     """
     words = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
-    norm = F.translate(F.regexp_replace(F.btrim(F.coalesce(text_col, F.lit(""))), r"[\x20\x09-\x0D]+", " "), UPPER, LOWER)
+    norm = F.translate(F.btrim(F.regexp_replace(F.coalesce(text_col, F.lit("")), r"[\x20\x09-\x0D]+", " ")), UPPER, LOWER)
     items = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(norm).alias("cluster"), words.alias("w"))
     pieces = items.select("doc_id", "source", "cluster", "w", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("w") / capacity) - 1, F.lit(0).cast("long")))).alias("piece"))
     pieces = pieces.select("doc_id", "source", "cluster", "piece", (F.col("piece") * capacity).alias("first_word"), F.least(F.lit(capacity).cast("long"), F.col("w") - F.col("piece") * capacity).alias("n_words"))
