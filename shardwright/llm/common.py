@@ -33,11 +33,23 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def is_local(master: str) -> bool:
+    """Whether executors are threads of the driver."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: spark.checkpoint.dir as the cluster names it; a temporary one only where it is unset (local tests)."""
+    """The folder for checkpoints and tables between stages: spark.checkpoint.dir as the cluster names it.
+
+    Where it is unset, a local session (all executors are threads of the driver, as in tests) gets a temporary folder;
+    on a cluster that is an error, because executors would each write to their own disk.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shardwright-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not is_local(sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="shardwright-"))
     return sc.getCheckpointDir()
 
 
@@ -47,6 +59,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def meet_hot(rows: DataFrame, table: DataFrame, key: str, size: str, total: int, how: str = "left", at_once: int = 10_000) -> DataFrame:
+    """rows joined on `key` to table, which has one row for each key and in `size` the number of its rows (out of `total`).
+
+    Keys of more than total / at_once rows are fewer than `at_once`; these travel to the rows by broadcast, so that no task
+    gathers all rows of one key, and only the rows of other keys are shuffled.
+    """
+    most = max(10_000, total // at_once)
+    hot = F.broadcast(table.where(F.col(size) > most).drop(size))
+    names = [c for c in table.columns if c not in (key, size)]
+    near = rows.join(hot, key, "inner")
+    far = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col(size) <= most).drop(size), key, how)
+    return near.select(*rows.columns, *names).unionByName(far.select(*rows.columns, *names))
+
+
 def ascii_lower(c):
     """Lower-case A-Z and nothing else.  Pure ASCII strings take the byte loop of lower(); others go through translate()."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
