@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, meet_hot
 from .components import connected_components
 
 #: Bands and the minima in each: two texts of similarity s share a band with probability 1 - (1 - s**ROWS)**BANDS, 0.9996 for s = 0.8.
@@ -118,11 +118,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with_both = with_a.join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
     edges = cut(_verified(with_both, least, shingle))
     comps = connected_components(edges)
-    lows = rows.groupBy("node").agg(F.min("id").alias("low"))
-    rooted = lows.join(comps, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    ids = cut(rows.select("id", "node"))
+    lows = ids.groupBy("node").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("rows"))
+    rooted = lows.join(comps, "node", "left").select("node", "low", "rows", F.coalesce("root", "node").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_node = rooted.join(lowest, "root").select("node", "component_id")
-    return rows.select("id", "node").join(by_node, "node", "left").select(F.col("id").alias(id_col), "component_id")
+    by_node = cut(rooted.join(lowest, "root").select("node", "rows", "component_id"))
+    return meet_hot(ids, by_node, "node", "rows", ids.count()).select(F.col("id").alias(id_col), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, meet_hot
 from .components import connected_components
 
 #: Fingerprints whose variants one task makes.
@@ -87,17 +87,17 @@ def simhash_clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """Near-duplicate groups: (doc_id, fingerprint: 16 hex digits, component_id: smallest id reachable, itself included).
 
     One row for each row of docs.  Equal fingerprints are one node of the graph, so a group of exact copies of any
-    size costs one node.  Null text: empty.  Documents without words share fingerprint 0 and are linked like others.
+    size costs one node, and its rows are met where they lie.  Null text: empty.  Documents without words share fingerprint 0 and are linked like others.
     Rows repeating an id stay separate rows.  A null id is linked but is never the smallest; a component of only null
     ids has a null component.  An empty table gives no rows; other columns are not read.
     """
     fps = cut(fingerprints(docs, id_col, text_col, shingle))
-    nodes = cut(fps.groupBy("fp").agg(F.min("id").alias("low")))
+    nodes = cut(fps.groupBy("fp").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("rows")))
     comps = connected_components(ball_edges(nodes.select("fp"), radius))
-    rooted = nodes.join(comps, nodes.fp == comps.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    rooted = nodes.join(comps, nodes.fp == comps.node, "left").select("fp", "low", "rows", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_fp = rooted.join(lowest, "root").select(F.col("fp").alias("node_fp"), "component_id")
-    out = fps.join(by_fp, fps.fp == by_fp.node_fp, "left")
+    by_fp = cut(rooted.join(lowest, "root").select("fp", "rows", "component_id"))
+    out = meet_hot(fps, by_fp, "fp", "rows", fps.count())
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
