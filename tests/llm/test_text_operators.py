@@ -9,7 +9,7 @@ import re
 import pytest
 import xxhash
 
-from shardwright.llm import chat, line_dedup, lm_score, mixing, packing, quality_rules, secrets, simhash
+from shardwright.llm import chat, line_dedup, mixing, packing, quality_rules, secrets, simhash
 from shardwright.llm.components import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -327,56 +327,3 @@ def test_forest_held_out(spark):
     assert sum((r.p >= 0.5) == (r.label == 1) for r in rows) / len(rows) > 0.97
     want = trees.predict(model, [[r[c] for c in secrets.FEATURES] for r in rows])
     assert [r.p for r in rows] == pytest.approx(list(want))
-
-
-# ---- language model
-
-
-def test_word_buckets_are_functions_of_the_word():
-    texts = ["The cat\tthe\n\nCAT é".encode(), b"", b" \n", b"cat"]
-    buckets, per = lm_score.word_buckets(texts)
-    assert per.tolist() == [5, 0, 0, 1]
-    assert buckets[0] == buckets[2] and buckets[1] == buckets[3] == buckets[5]
-    many = [f"word{k}".encode() for k in range(3000)]
-    one_by_one = [lm_score.word_buckets([m])[0][0] for m in many[:50]]
-    assert lm_score.word_buckets([b" ".join(many)])[0][:50].tolist() == one_by_one
-    assert len(set(lm_score.word_buckets([b" ".join(many)])[0].tolist())) > 2700
-
-
-def test_scores_equal_word_by_word_sums(spark, sf):
-    import numpy as np
-
-    d = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(60)
-    model = lm_score.fit_lm(d)
-    rows = [(r.doc_id, r.text) for r in d.collect()][:12] + [(900, None), (901, ""), (None, "one"), (902, "a b")]
-    got = {r.doc_id: r for r in lm_score.score_lm(docs(spark, rows), model).collect()}
-    e, b, w, c = lm_score._unpack(model["flat"])
-    for i, t in rows:
-        bk, _ = lm_score.word_buckets([(t or "").encode()])
-        cl = [int(model["classes"][k]) for k in bk]
-        total = 0.0
-        for p in range(len(cl)):
-            h = b.astype(float)
-            for k, o in enumerate((-2, -1, 1, 2)):
-                h = h + e[k][cl[p + o] if 0 <= p + o < len(cl) else lm_score.CLASSES]
-            z = np.tanh(h) @ w + c
-            total += z[cl[p]] - np.logaddexp.reduce(z) + model["within"][bk[p]]
-        assert got[i].n_words == len(cl) and got[i].log_likelihood == pytest.approx(total, rel=1e-4, abs=1e-4)
-        assert (got[i].mean_log_likelihood is None) == (not cl)
-
-
-def test_language_model_prefers_text_in_order(spark):
-    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    model = lm_score.fit_lm(d, every=4)
-    base = lm_score.score_lm(d, {**model, "flat": _untrained(model)}).agg({"log_likelihood": "sum"}).first()[0]
-    assert lm_score.score_lm(d, model).agg({"log_likelihood": "sum"}).first()[0] > base
-    assert lm_score.score_lm(d.limit(0), model).collect() == []
-    assert lm_score.fit_lm(d.limit(0))["flat"].shape == model["flat"].shape
-
-
-def _untrained(model):
-    import numpy as np
-
-    flat = np.zeros_like(model["flat"])
-    flat[-lm_score.CLASSES :] = model["flat"][-lm_score.CLASSES :]
-    return flat
