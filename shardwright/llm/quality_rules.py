@@ -10,7 +10,8 @@ from .common import in_pieces
 #: The line features, in the order of a model's emission weights.
 FEATURES = ("bias", "log_chars", "word_chars", "upper", "digits", "symbols", "bangs", "punctuated", "repeated", "few_words")
 #: Weights that hold where no labelled rows of both classes are at hand: marks of boilerplate are symbols, shouting, repeats and digits.
-PRIOR = {"emit": [1.5, 0.1, 0.0, -4.0, -3.0, -4.0, -4.0, 0.6, -1.5, -0.3], "stay": 1.0}
+#: trans[a][b] is the score of a line labelled b after one labelled a (0: boilerplate, 1: content).
+PRIOR = {"emit": [1.5, 0.1, 0.0, -4.0, -3.0, -4.0, -4.0, 0.6, -1.5, -0.3], "trans": [[1.0, 0.0], [0.0, 1.0]]}
 
 _UPPER, _DIGIT, _SYMBOL, _BANG, _SPACE, _INNER, _MARK = 1, 2, 4, 8, 16, 32, 64
 
@@ -105,15 +106,16 @@ def line_features(texts: list[bytes]):
     return f, words, np.array(owner)
 
 
-def viterbi(scores, stay: float) -> list[int]:
-    """The best labels (1: content) of one text's lines; scores: emission score of content over boilerplate for each line; stay: score of keeping a label."""
+def viterbi(scores, trans) -> list[int]:
+    """The best labels (1: content) of one text's lines; scores: emission score of content over boilerplate for each line; trans: as in a model."""
+    (t00, t01), (t10, t11) = trans
     a = b = 0.0  # best path that ends as boilerplate, as content
     back = []
     for k, s in enumerate(scores):
         if k:
-            fa, fb = b > a + stay, b + stay >= a
+            fa, fb = b + t10 > a + t00, b + t11 >= a + t01
             back.append((fa, fb))
-            a, b = (b if fa else a + stay), (b + stay if fb else a)
+            a, b = (b + t10 if fa else a + t00), (b + t11 if fb else a + t01)
         b += s
     y = int(b >= a)
     out = [y]
@@ -123,61 +125,89 @@ def viterbi(scores, stay: float) -> list[int]:
     return out[::-1]
 
 
-def train_crf(texts: list[bytes], quality: list[int], rounds: int = 150, rate: float = 0.5, l2: float = 1e-3, piece: int = 48) -> dict:
-    """A CRF by maximum likelihood: all lines of a text rated 1 are content, of one rated 0 boilerplate.
+def spliced(good: list[bytes], bad: list[bytes], seed: int = 0) -> tuple[list[bytes], list[list[int]]]:
+    """Training texts with labelled lines (of lines that have a word): passages of bad texts set into good ones at known places.
 
-    Forward and backward sums over pieces of `piece` lines; both classes weigh the same.  With one class only: PRIOR.
+    Every good text comes whole, and once more with a passage of a bad text before, inside or after it; every bad text
+    comes whole, and once more as a passage cut at random beside lines of a good text.  Lines of good texts are content,
+    lines of bad ones boilerplate, so most texts change label within.
+    """
+    import random
+
+    r = random.Random(seed)
+    has_word = lambda x: bool(x) and not x.isspace()
+    lines = [[[x for x in t.split(b"\n") if has_word(x)] for t in part] for part in (bad, good)]
+    lines = [[x for x in part if x] for part in lines]
+    out = [([y] * len(x), x) for y, part in enumerate(lines) for x in part]
+    if lines[0] and lines[1]:
+        for y, part in enumerate(lines):
+            for x in part:
+                other = r.choice(lines[1 - y])
+                i = r.randrange(len(other))
+                piece = other[i : i + r.choice([1, 1, 2, 3, 5, 8, len(other)])]
+                at = r.choice([0, len(x), r.randint(0, len(x))])
+                out.append(([y] * at + [1 - y] * len(piece) + [y] * (len(x) - at), x[:at] + piece + x[at:]))
+    return [b"\n".join(x) for _, x in out], [y for y, _ in out]
+
+
+def train_crf(texts: list[bytes], labels: list[list[int]], rounds: int = 200, rate: float = 0.3, l2: float = 1e-3, piece: int = 48) -> dict:
+    """A CRF by maximum likelihood from texts and the labels (1: content) of their lines that have a word.
+
+    Forward and backward sums over pieces of `piece` lines; lines of both labels weigh the same in all.  The four
+    transition weights are free.  With lines of one label only: PRIOR.
     """
     import numpy as np
 
-    if len(set(quality)) < 2:
-        return PRIOR
-    f, _, owner = line_features(texts)
-    y = np.array(quality)[owner]
+    y = np.array([v for x in labels for v in x], np.int64)
     if len(set(y.tolist())) < 2:
         return PRIOR
+    f, _, owner = line_features(texts)
     first = np.searchsorted(owner, owner)
-    seq = np.cumsum((np.arange(len(owner)) - first) % piece == 0) - 1
     pos = (np.arange(len(owner)) - first) % piece
+    seq = np.cumsum(pos == 0) - 1
     n, t = seq[-1] + 1, pos.max() + 1
-    mask = np.zeros((n, t), bool)
-    mask[seq, pos] = True
+    mask, gold = np.zeros((n, t), bool), np.zeros((n, t), np.int64)
+    mask[seq, pos], gold[seq, pos] = True, y
     pair = mask[:, 1:] & mask[:, :-1]
-    gold = np.zeros((n, t))
-    gold[seq, pos] = y
-    weight = np.where(gold[:, 0] == 1, len(gold) / max(1, (gold[:, 0] == 1).sum()), len(gold) / max(1, (gold[:, 0] == 0).sum())) / 2
-    w, stay = np.array(PRIOR["emit"], float), float(PRIOR["stay"])
-    mw, vw = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    ones = np.maximum((gold * mask).sum(axis=1), 0) / mask.sum(axis=1)
+    share = y.mean()
+    weight = (ones / share + (1 - ones) / (1 - share)) / 2
+    seen = np.array([[((gold[:, :-1] == a) & (gold[:, 1:] == b) & pair).T @ weight for b in (0, 1)] for a in (0, 1)]).sum(axis=-1)
+    w, trans = np.array(PRIOR["emit"], float), np.array(PRIOR["trans"], float)
+    mw, vw = np.zeros(len(w) + 4), np.zeros(len(w) + 4)
+    scale = (mask * weight[:, None]).sum()
     for k in range(1, rounds + 1):
         s = np.zeros((n, t))
         s[seq, pos] = f @ w
+        (t00, t01), (t10, t11) = trans
         # Log sums over all labellings up to and from each line, one array for each label (0 boilerplate, 1 content).
         f0, f1, b0, b1 = np.zeros((n, t)), s.copy(), np.zeros((n, t)), np.zeros((n, t))
         for i in range(1, t):
             here = mask[:, i]
-            f0[:, i] = np.where(here, np.logaddexp(f0[:, i - 1] + stay, f1[:, i - 1]), f0[:, i - 1])
-            f1[:, i] = np.where(here, np.logaddexp(f0[:, i - 1], f1[:, i - 1] + stay) + s[:, i], f1[:, i - 1])
+            f0[:, i] = np.where(here, np.logaddexp(f0[:, i - 1] + t00, f1[:, i - 1] + t10), f0[:, i - 1])
+            f1[:, i] = np.where(here, np.logaddexp(f0[:, i - 1] + t01, f1[:, i - 1] + t11) + s[:, i], f1[:, i - 1])
         for i in range(t - 2, -1, -1):
             here, after = mask[:, i + 1], b1[:, i + 1] + s[:, i + 1]
-            b0[:, i] = np.where(here, np.logaddexp(b0[:, i + 1] + stay, after), 0)
-            b1[:, i] = np.where(here, np.logaddexp(b0[:, i + 1], after + stay), 0)
+            b0[:, i] = np.where(here, np.logaddexp(b0[:, i + 1] + t00, after + t01), 0)
+            b1[:, i] = np.where(here, np.logaddexp(b0[:, i + 1] + t10, after + t11), 0)
         z = np.logaddexp(f0[:, -1], f1[:, -1])[:, None]
         p = np.exp(np.minimum(f1 + b1 - z, 0)) * mask
-        kept = np.exp(np.minimum(f0[:, :-1] + stay + b0[:, 1:] - z, 0)) + np.exp(np.minimum(f1[:, :-1] + stay + s[:, 1:] + b1[:, 1:] - z, 0))
-        same = (kept * pair * weight[:, None]).sum()
-        g = np.append((((gold - p) * mask * weight[:, None])[seq, pos]) @ f, (pair * weight[:, None]).sum() - same) / weight.sum() / 5
-        g -= l2 * np.append(w, stay)
+        before, later = (f0[:, :-1], f1[:, :-1]), (b0[:, 1:], b1[:, 1:] + s[:, 1:])
+        expected = np.array([[((np.exp(np.minimum(before[a] + trans[a, b] + later[b] - z, 0)) * pair).T @ weight).sum() for b in (0, 1)] for a in (0, 1)])
+        g = np.append((((gold - p) * mask * weight[:, None])[seq, pos]) @ f, (seen - expected).ravel()) / scale
+        g -= l2 * np.append(w, trans.ravel())
         mw, vw = 0.9 * mw + 0.1 * g, 0.99 * vw + 0.01 * g * g
         step = rate * (1 - k / (rounds + 1)) * (mw / (1 - 0.9**k)) / (np.sqrt(vw / (1 - 0.99**k)) + 1e-8)
-        w, stay = w + step[:-1], float(np.clip(stay + step[-1], 0, 3))
-    return {"emit": [float(x) for x in w], "stay": stay}
+        w, trans = w + step[:-4], trans + step[-4:].reshape(2, 2)
+    return {"emit": [float(x) for x in w], "trans": trans.tolist()}
 
 
 def fit_on_labels(docs: DataFrame, labels: DataFrame, most_rows: int = 1500, most_chars: int = 20_000) -> dict:
-    """A CRF from a bounded sample of labelled documents.
+    """A CRF from a bounded sample of labelled documents, whose lines are labelled by spliced().
 
     At most `most_rows` labels, first by a hash of doc_id and spread over both classes alike, and of their documents
-    those of `most_chars` characters or less go to the driver; nothing else of the corpus does.  Null labels are skipped.
+    those of `most_chars` characters or less go to the driver; nothing else of the corpus does.  Null labels are skipped,
+    of rows repeating an id one counts; without documents of both labels the prior holds.
     """
     some = None
     for q in (0, 1):
@@ -186,7 +216,7 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, most_rows: int = 1500, mos
     some = some.select(F.col("doc_id").alias("__id"), "quality").dropDuplicates(["__id"])
     found = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("__id")).where(F.char_length("text").between(1, most_chars)).select("doc_id", "text", "quality")
     rows = sorted(found.limit(2 * most_rows).collect(), key=lambda r: (r.doc_id, r.text))
-    return train_crf([r.text.encode() for r in rows], [int(r.quality) for r in rows])
+    return train_crf(*spliced([r.text.encode() for r in rows if r.quality == 1], [r.text.encode() for r in rows if r.quality == 0]))
 
 
 def judge_quality(docs: DataFrame, model: dict, keep_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -198,7 +228,7 @@ def judge_quality(docs: DataFrame, model: dict, keep_share: float = 0.5, id_col:
     empty text: no words, base_failed.  An id may be null or repeated; every row is judged alone.
     """
     carry = carry or []
-    emit, stay = list(model["emit"]), float(model["stay"])
+    emit, trans = list(model["emit"]), [list(map(float, x)) for x in model["trans"]]
 
     def run(batches):
         import numpy as np
@@ -214,7 +244,7 @@ def judge_quality(docs: DataFrame, model: dict, keep_share: float = 0.5, id_col:
                 share, content = [], []
                 for i in range(len(texts)):
                     lo, hi = ends[i], ends[i + 1]
-                    y = np.array(viterbi(score[lo:hi].tolist(), stay), bool) if hi > lo else np.zeros(0, bool)
+                    y = np.array(viterbi(score[lo:hi].tolist(), trans), bool) if hi > lo else np.zeros(0, bool)
                     total = int(words[lo:hi].sum())
                     share.append(float(words[lo:hi][y].sum() / total) if total else 0.0)
                     content.append(int(y.sum()))
@@ -232,13 +262,12 @@ def judge_quality(docs: DataFrame, model: dict, keep_share: float = 0.5, id_col:
 
 
 def quality_filter(docs: DataFrame, model: dict, keep_share: float = 0.5) -> DataFrame:
-    """docs without the rejected rows, with the same columns.  The verdict travels with the row, so nothing is shuffled."""
+    """docs without the rejected rows, with the same columns.  The verdict travels with the row, so nothing is shuffled.
+
+    Null and empty texts are rejected (no words); a row repeating an id is judged by its own text; null ids are rows like
+    others; an empty table gives no rows; columns of any name stay as they are.
+    """
     names = docs.columns
     inner = docs.select(F.struct(*names).alias("__row"), F.col("text"))
     judged = judge_quality(inner, model, keep_share, "__row", "text")
     return judged.where("kept").select("__row.*")
-
-
-BASE_SQL = r"""
-SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_words FROM documents
-"""

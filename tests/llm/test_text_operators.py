@@ -99,21 +99,50 @@ def test_quality_counts(spark, sf):
 def test_viterbi_is_the_best_path():
     r = random.Random(2)
     for _ in range(200):
-        s, stay = [r.uniform(-2, 2) for _ in range(r.randint(1, 8))], r.uniform(0, 2)
-        value = lambda y: sum(a * b for a, b in zip(s, y, strict=True)) + stay * sum(a == b for a, b in zip(y, y[1:], strict=False))
-        assert value(quality_rules.viterbi(s, stay)) == pytest.approx(max(map(value, itertools.product((0, 1), repeat=len(s)))))
+        s, t = [r.uniform(-2, 2) for _ in range(r.randint(1, 8))], [[r.uniform(-1, 2) for _ in (0, 1)] for _ in (0, 1)]
+        value = lambda y: sum(a * b for a, b in zip(s, y, strict=True)) + sum(t[a][b] for a, b in zip(y, y[1:], strict=False))
+        assert value(quality_rules.viterbi(s, t)) == pytest.approx(max(map(value, itertools.product((0, 1), repeat=len(s)))))
 
 
-def test_crf_held_out(spark):
+def labelled(spark):
     d = "/root/testdata/sf0.01"
-    rows = spark.read.parquet(f"{d}/documents.parquet").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").orderBy("doc_id").collect()
+    return spark.read.parquet(f"{d}/documents.parquet").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").orderBy("doc_id").collect()
+
+
+def by_class(rows):
+    return [[r.text.encode() for r in rows if r.quality == q] for q in (1, 0)]
+
+
+def test_crf_labels_lines_of_held_out_spliced_texts(spark):
+    rows = labelled(spark)
+    model = quality_rules.train_crf(*quality_rules.spliced(*by_class(rows[::2])))
+    texts, labels = quality_rules.spliced(*by_class(rows[1::2]), seed=1)
+    f, _, owner = quality_rules.line_features(texts)
+    score, right, total, both = f @ model["emit"], 0, 0, 0
+    for i, want in enumerate(labels):
+        got = quality_rules.viterbi(score[owner == i].tolist(), model["trans"])
+        right += sum(a == b for a, b in zip(got, want, strict=True))
+        total += len(want)
+        both += len(set(got)) == 2
+    assert right / total > 0.9 and both > len(texts) / 4
+    assert model["trans"][0][0] + model["trans"][1][1] > model["trans"][0][1] + model["trans"][1][0]  # labels tend to stay
+    # A text that is half boilerplate stays or goes as the threshold says.
+    good, bad = max(by_class(rows[1::2])[0], key=len), next(t for t in by_class(rows[1::2])[1] if t.count(b"\n") > 3)
+    mixed = docs(spark, [(1, (good + b"\n" + bad[: len(good)]).decode(errors="ignore"))])
+    share = quality_rules.judge_quality(mixed, model).first().content_share
+    assert 0 < share < 1
+    assert quality_rules.judge_quality(mixed, model, share - 0.01).first().kept and not quality_rules.judge_quality(mixed, model, share + 0.01).first().kept
+
+
+def test_crf_held_out_documents(spark):
+    rows = labelled(spark)
     fit, rest = rows[::2], rows[1::2]
-    model = quality_rules.train_crf([r.text.encode() for r in fit], [r.quality for r in fit])
+    model = quality_rules.train_crf(*quality_rules.spliced(*by_class(fit)))
     got = {r.doc_id: r for r in quality_rules.judge_quality(docs(spark, [(r.doc_id, r.text) for r in rest]), model).collect()}
     judged = [(got[r.doc_id].kept, r.quality == 1) for r in rest if not got[r.doc_id].base_failed]
     assert sum(a == b for a, b in judged) / len(judged) > 0.95
     assert sum(a for a, b in judged if b) / sum(b for _, b in judged) > 0.98  # clean documents stay
-    assert quality_rules.train_crf([b"a b"], [1]) == quality_rules.PRIOR
+    assert quality_rules.train_crf([b"a b"], [[1]]) == quality_rules.PRIOR == quality_rules.train_crf([], [])
 
 
 def test_quality_filter_keeps_columns(spark, sf):
