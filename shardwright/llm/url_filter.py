@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import trees
-from .common import UPPER, LOWER
+from .common import LOWER, UPPER, cut
 
 #: (verdict, host, path prefix); a rule fits its host and all subdomains.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -25,9 +25,9 @@ def split_url(urls: DataFrame) -> DataFrame:
 
 
 def rule_column(rules=RULES):
-    """The text (host and path) of the longest rule that fits, else null. Rules of equal length can't both fit one URL unless they are equal."""
+    """The text (host and path) of the longest rule that fits, else null; of equally long ones that with the longer host."""
     hit = F.lit(None).cast("string")
-    for _, host, path in sorted(rules, key=lambda r: len(r[1] + r[2])):
+    for _, host, path in sorted(rules, key=lambda r: (len(r[1] + r[2]), len(r[1]))):
         fits = ((F.col("host") == host) | F.endswith(F.col("host"), F.lit("." + host))) & F.startswith(F.col("path"), F.lit(path))
         hit = F.when(fits, F.lit(host + path)).otherwise(hit)
     return hit
@@ -56,8 +56,8 @@ def with_features(urls: DataFrame, stats: DataFrame) -> DataFrame:
     return df.fillna(0.5, ["suffix_rate", "domain_rate"])
 
 
-def labelled_urls(urls: DataFrame, rules=RULES, words=LABEL_WORDS, most_rows: int = 6000) -> DataFrame:
-    """(url, host, path, label): labelled URLs for training, at most `most_rows`, half of each label, first by a hash of the URL.
+def labels_of(urls: DataFrame, rules=RULES, words=LABEL_WORDS) -> DataFrame:
+    """(url, label) of the urls (url, host, path) that can be labelled without a table of labels.
 
     Block: hosts with one of `words`.  Allow: what a rule allows, and hosts without such a word that no rule fits
     (presumed clean).  URLs that a rule blocks are policy and teach nothing.
@@ -65,9 +65,23 @@ def labelled_urls(urls: DataFrame, rules=RULES, words=LABEL_WORDS, most_rows: in
     rule = rule_column(rules)
     allowed = [h + p for v, h, p in rules if v == "allow"]
     label = F.when(F.col("host").rlike("|".join(words)), 1).when(rule.isNull() | rule.isin(allowed), 0)
-    known = urls.select("url", "host", "path", label.alias("label")).where("label is not null and host <> ''")
-    some = [known.where(F.col("label") == v).orderBy(F.xxhash64("url"), "url").limit(most_rows // 2) for v in (0, 1)]
-    return some[0].unionByName(some[1])
+    return urls.where("host <> ''").select("url", label.alias("label")).where("label is not null")
+
+
+def labelled_sample(labelled: DataFrame, most_rows: int = 6000) -> DataFrame:
+    """(url, host, path, label) of at most `most_rows` different URLs of labelled (url, label), half of each label, first by a hash of the URL.
+
+    Rows are counted first, and only those whose hash lies below four times the share that is needed are made distinct, so that
+    no more than a few times the sample is shuffled.  A URL with both labels counts once for each; null URLs and labels are dropped.
+    """
+    known = labelled.where("url is not null and label in (0, 1)").select("url", F.col("label").cast("int").alias("label"))
+    sizes = {r.label: r.n for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    unit = F.shiftrightunsigned(F.xxhash64("url"), 1) / F.lit(float(1 << 63))
+    below = F.when(F.col("label") == 1, 2.0 * most_rows / max(sizes.get(1, 0), 1)).otherwise(2.0 * most_rows / max(sizes.get(0, 0), 1))
+    some = known.where(unit < below).select("url", "label").distinct()
+    some = cut(some)
+    parts = [some.where(F.col("label") == v).orderBy(F.xxhash64("url"), "url").limit(most_rows // 2) for v in (0, 1)]
+    return cut(split_url(parts[0].unionByName(parts[1])).select("url", "host", "path", "label"))
 
 
 def fit_urls(labelled: DataFrame) -> tuple[dict, DataFrame]:
@@ -87,16 +101,16 @@ def fit_urls(labelled: DataFrame) -> tuple[dict, DataFrame]:
     return trees.boosted([r[:-1] for r in data], [r[-1] for r in data]), stats
 
 
-def judge_urls(pages: DataFrame, rules=RULES, most_labelled: int = 6000) -> DataFrame:
+def judge_urls(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, most_labelled: int = 6000) -> DataFrame:
     """page_id, host, path, rule, verdict (allow or block) and score (the trees' log-odds of block) for each row of pages.
 
-    The longest fitting rule decides; the trees decide where none fits.  The trees are fitted on a bounded labelled
-    sample (labelled_urls); features and scores are expressions over the scan, without a shuffle of pages.  Null and
+    The longest fitting rule decides; the trees decide where none fits.  The trees are fitted on a bounded sample of different
+    labelled URLs (labelled: url, label 1 to block; without it labels_of() the pages themselves); features and scores are expressions over the scan, without a shuffle of pages.  Null and
     malformed URLs have empty host and path and get the trees' verdict; ids may be null or repeated; an empty table gives
     no rows; without labelled rows every undecided URL is allowed.
     """
     urls = split_url(pages.select("page_id", "url"))
-    model, stats = fit_urls(labelled_urls(urls, rules, most_rows=most_labelled))
+    model, stats = fit_urls(labelled_sample(labels_of(urls, rules) if labelled is None else labelled, most_labelled))
     df = with_features(urls, stats)
     df = df.withColumn("rule", rule_column(rules)).withColumn("score", trees.score(model, [F.col(c) for c in FEATURES]) if model["trees"] else F.lit(-1.0))
     blocks = [h + p for v, h, p in rules if v == "block"]

@@ -343,16 +343,3 @@ def test_secret_places_and_verdicts(spark):
     clean = secrets.redact(d, secrets.scan_secrets(d)).where("doc_id = 1").first().text
     assert key not in clean and tok not in clean
     assert secrets.scan_secrets(d.limit(0)).collect() == []
-
-
-def test_forest_held_out(spark):
-    from pyspark.sql import functions as F
-
-    from shardwright.llm import trees
-
-    fit, rest = secrets.labelled_findings(spark, 3000, 1), secrets.labelled_findings(spark, 1500, 2)
-    model = secrets.fit_findings(fit)
-    rows = secrets.with_features(rest).withColumn("p", trees.score(model, [F.col(c) for c in secrets.FEATURES])).collect()
-    assert sum((r.p >= 0.5) == (r.label == 1) for r in rows) / len(rows) > 0.97
-    want = trees.predict(model, [[r[c] for c in secrets.FEATURES] for r in rows])
-    assert [r.p for r in rows] == pytest.approx(list(want))
