@@ -37,24 +37,38 @@ def _beam(x, graph, queries, entry, ef: int, wide: int = 4):
         live = np.flatnonzero(~done.all(axis=1))
         if not len(live):
             return sims, ids
-        lrow = live[:, None]
-        pick = np.argsort(done[live], axis=1, kind="stable")[:, :wide]
-        fresh = ~np.take_along_axis(done[live], pick, 1)
-        nodes = np.take_along_axis(ids[live], pick, 1)
-        done[lrow, pick] = True
-        found = []
-        for k in range(pick.shape[1]):
-            nb = graph[np.where(fresh[:, k], nodes[:, k], 0)]
-            ok = (nb >= 0) & fresh[:, k, None] & ~seen[lrow, nb]
-            seen[lrow, np.where(ok, nb, nodes[:, k, None] * (nodes[:, k, None] >= 0))] |= ok
-            found.append(np.where(ok, nb, -1))
-        nb = np.concatenate(found, axis=1)
-        s = np.einsum("qd,qkd->qk", queries[live], x[np.maximum(nb, 0)])
-        s[nb < 0] = -np.inf
-        all_s, all_i = np.concatenate([sims[live], s], 1), np.concatenate([ids[live], nb], 1)
-        all_d = np.concatenate([done[live], nb < 0], 1)
-        order = np.argsort(-all_s, axis=1, kind="stable")[:, :ef]
-        sims[live], ids[live], done[live] = (np.take_along_axis(a, order, 1) for a in (all_s, all_i, all_d))
+        # The best `wide` entries of each beam that are still to be expanded.
+        todo = ~done[live]
+        todo &= np.cumsum(todo, axis=1) <= wide
+        at, col = np.nonzero(todo)
+        done[live[at], col] = True
+        nb = graph[ids[live[at], col]]
+        src = np.repeat(at, nb.shape[1])
+        nb = nb.ravel()
+        ok = nb >= 0
+        src, nb = src[ok], nb[ok]
+        ok = ~seen[live[src], nb]
+        src, nb = src[ok], nb[ok]
+        # A node that two of them share is taken once.
+        key = np.sort(src * np.int64(n) + nb)
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]]
+        src, nb = np.divmod(key, n)
+        seen[live[src], nb] = True
+        s = np.einsum("md,md->m", queries[live[src]], x[nb])
+        ok = s > sims[live[src], -1]
+        src, nb, s = src[ok], nb[ok], s[ok]
+        if not len(src):
+            continue
+        count = np.bincount(src, minlength=len(live))
+        moved = np.flatnonzero(count)
+        place = np.arange(len(src)) - np.repeat(np.cumsum(count) - count, count)
+        new_s, new_i = np.full((len(live), count.max()), -np.inf, np.float32), np.full((len(live), count.max()), -1, np.int64)
+        new_s[src, place], new_i[src, place] = s, nb
+        m = live[moved]
+        all_s, all_i = np.concatenate([sims[m], new_s[moved]], 1), np.concatenate([ids[m], new_i[moved]], 1)
+        all_d = np.concatenate([done[m], new_i[moved] < 0], 1)
+        order = np.argsort(-all_s, axis=1)[:, :ef]
+        sims[m], ids[m], done[m] = (np.take_along_axis(a, order, 1) for a in (all_s, all_i, all_d))
 
 
 def _diverse(x, sims, ids, most: int):
@@ -78,7 +92,7 @@ def _diverse(x, sims, ids, most: int):
 
 
 def _link_back(x, graph, new, chosen, extra: int = 32):
-    """Add the new nodes to the lists of those they chose; lists that overflow are chosen anew."""
+    """Add the new nodes to the lists of those they chose; a list that overflows is chosen anew, to three quarters, so that the next ones find room."""
     import numpy as np
 
     src, dst = np.repeat(new, chosen.shape[1]), chosen.ravel()
@@ -93,14 +107,22 @@ def _link_back(x, graph, new, chosen, extra: int = 32):
     more = np.full((len(nodes), extra), -1, np.int64)
     ok = place < extra
     more[np.searchsorted(nodes, dst[ok]), place[ok]] = src[ok]
-    for k in range(0, len(nodes), 512):
-        at = nodes[k : k + 512]
-        known = (more[k : k + 512, :, None] == graph[at][:, None, :]).any(axis=2)
-        ids = np.concatenate([graph[at], np.where(known, -1, more[k : k + 512])], 1)
-        sims = np.einsum("qd,qkd->qk", x[at], x[np.maximum(ids, 0)])
-        sims[ids < 0] = -np.inf
-        order = np.argsort(-sims, axis=1, kind="stable")
-        graph[at] = _diverse(x, np.take_along_axis(sims, order, 1), np.take_along_axis(ids, order, 1), graph.shape[1])
+    degree = graph.shape[1]
+    for k in range(0, len(nodes), 2048):
+        at = nodes[k : k + 2048]
+        both = np.concatenate([graph[at], np.where((more[k : k + 2048, :, None] == graph[at][:, None, :]).any(axis=2), -1, more[k : k + 2048])], 1)
+        both = np.take_along_axis(both, np.argsort(both < 0, axis=1, kind="stable"), 1)
+        full = (both >= 0).sum(axis=1) > degree
+        graph[at[~full]] = both[~full, :degree]
+        for j in range(0, int(full.sum()), 256):
+            own, ids = at[full][j : j + 256], both[full][j : j + 256]
+            ids = ids[:, (ids >= 0).any(axis=0)]
+            sims = np.einsum("qd,qkd->qk", x[own], x[np.maximum(ids, 0)])
+            sims[ids < 0] = -np.inf
+            order = np.argsort(-sims, axis=1, kind="stable")
+            best = _diverse(x, np.take_along_axis(sims, order, 1), np.take_along_axis(ids, order, 1), degree - degree // 4)
+            graph[own] = -1
+            graph[own[:, None], np.arange(best.shape[1])] = best
 
 
 def _raise_norms(v):
@@ -116,6 +138,8 @@ def build_graph(vectors, m: int = 16, ef: int = 48, seed: int = 0) -> dict:
 
     Row k of a permutation lies in layers 0 to its level; levels fall geometrically, so each layer is the start of
     the permutation.  Layers are built from the top; nodes join in batches by a search of what is there already.
+    The last column of layer 0 links each row to the next one, so that every row can be reached from any other and a
+    beam as wide as the shard finds the exact answer.
     """
     import numpy as np
 
@@ -148,6 +172,8 @@ def build_graph(vectors, m: int = 16, ef: int = 48, seed: int = 0) -> dict:
             _link_back(x, g, np.arange(start, end), chosen[:, :m])
             start = end
         graphs[k] = g
+    if n:
+        graphs[0] = np.concatenate([graphs[0], ((np.arange(n, dtype=np.int32) + 1) % n)[:, None]], 1)
     return {"perm": perm, "x": x, "sizes": sizes, "graphs": graphs}
 
 
@@ -166,101 +192,172 @@ def search_graph(index: dict, queries, ef: int):
     import numpy as np
 
     q = np.concatenate([np.asarray(queries, np.float32), np.zeros((len(queries), 1), np.float32)], 1)
-    if index.get("exact"):
-        s = q @ index["x"].T
-        return _top(s, np.broadcast_to(np.arange(s.shape[1]), s.shape), min(ef, s.shape[1]))
     return _beam(index["x"], index["graphs"][0], q, _descend(index["x"], index["graphs"], q, 0), ef)
 
 
-def calibrate(index: dict, k: int, aim: float = 0.97, probes: int = 64) -> tuple[int, bool]:
-    """The beam width at which the graph finds `aim` of the k nearest of probe rows, against a scan of the shard; or that it must be scanned."""
+def calibrate(index: dict, k: int, aim: float = 0.97, probes: int = 64) -> int:
+    """The beam width at which the graph finds `aim` of the k nearest of probe rows, against a scan of the shard; as wide as the shard if need be."""
     import numpy as np
 
     x, n = index["x"], len(index["x"])
-    if n <= 4 * k:
-        return n, True
     at = np.unique(np.linspace(0, n - 1, min(n, probes)).astype(int))
     q = x[at].copy()
     q[:, -1] = 0
-    exact = np.sort(q @ x.T, axis=1)[:, -k][:, None] - 1e-6
+    most = min(k, n)
+    exact = np.sort(q @ x.T, axis=1)[:, -most][:, None] - 1e-6
     ef = max(64, 3 * k)
-    while ef < n // 4:
+    while ef < n:
         sims, _ = search_graph(index, q[:, :-1], ef)
-        if np.minimum((sims >= exact).sum(axis=1), k).mean() >= aim * k:
-            return ef, False
+        if np.minimum((sims >= exact).sum(axis=1), most).mean() >= aim * most:
+            return ef
         ef *= 2
-    return n, True
+    return n
 
 
-def nearest(embeddings: DataFrame, is_query=None, k: int = 20, shard_rows: int = 8192, block_rows: int = 1024, m: int = 16, ef: int = 48, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def find_cells(sample, cells: int, top: float, k: int, aim: float = 0.98, rounds: int = 8, seed: int = 0):
+    """(centres, cells to look into) from a bounded sample of vectors, whose largest squared norm is `top`.
+
+    Centres are means of the sample with raised norms, by Lloyd's rounds.  A query looks into as many cells as it takes
+    to meet `aim` of the k nearest of probe rows in the sample; nearer neighbours than a sample holds are easier to meet.
+    """
+    import numpy as np
+
+    v = np.asarray(sample, np.float64)
+    x = np.concatenate([v, np.sqrt(np.maximum(top - (v**2).sum(axis=1), 0))[:, None]], 1).astype(np.float32)
+    rng = np.random.default_rng(seed)
+    c = x[rng.permutation(len(x))[:cells]].copy()
+    for _ in range(rounds):
+        own = (x @ c.T - (c**2).sum(axis=1) / 2).argmax(axis=1)
+        n = np.bincount(own, minlength=len(c))
+        total = np.zeros_like(c)
+        np.add.at(total, own, x)
+        c[n > 0] = total[n > 0] / n[n > 0, None]
+        c[n == 0] = x[rng.integers(0, len(x), int((n == 0).sum()))]
+    own = (x @ c.T - (c**2).sum(axis=1) / 2).argmax(axis=1)
+    at = np.unique(np.linspace(0, len(x) - 1, min(len(x), 256)).astype(int))
+    q = x[at].copy()
+    q[:, -1] = 0
+    sims = q @ x.T
+    sims[np.arange(len(at)), at] = -np.inf
+    near = own[np.argsort(-sims, axis=1)[:, : min(k, len(x) - 1)]]
+    rank = np.argsort(np.argsort(-(q @ c.T - (c**2).sum(axis=1) / 2), axis=1), axis=1)
+    need = np.take_along_axis(rank, near, 1).ravel() if near.size else np.zeros(1, int)
+    found = np.cumsum(np.bincount(need, minlength=len(c))) / len(need)
+    return c, int(np.searchsorted(found, aim - 1e-12)) + 1
+
+
+def nearest(embeddings: DataFrame, is_query=None, k: int = 20, shard_rows: int = 65_536, block_rows: int = 2048, sample_rows: int = 16_384, m: int = 16, ef: int = 48, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of each query row among all other rows.
 
-    Nearness is the inner product.  Rows are dealt by hash of id into shards of about `shard_rows`, each indexed by one
-    task as flat neighbour arrays; the index is written to the shared checkpoint folder.  Queries (a condition; by
-    default ids divisible by 20) are dealt into blocks, and every block searches every shard, one task for each pair,
-    so no task holds more than one shard and one block.  The beam of each shard is widened until probes against a
-    scan of the shard reach a recall of 0.97; a shard in which the graph can't is scanned.  The shards' k nearest are merged;
+    Nearness is the inner product.  Rows lie in cells around centres, which are fitted on a sample of at most `sample_rows`
+    vectors; cells of more than about `shard_rows` rows are split by hash, and each shard is indexed by one task as flat
+    neighbour arrays, which are written to the shared checkpoint folder.  Queries (a condition; by default ids divisible by
+    20) go to the shards of the cells next to them, as many as the sample says (find_cells), and search there in blocks of about
+    `block_rows`, so no task holds more than one shard and one block; an index is copied only for a shard that more queries than
+    a block holds come to, and costs little beside their searches.  The beam of each shard is widened until probes against
+    a scan of the shard reach a recall of 0.97, up to the whole shard.  The shards' k nearest are merged;
     scores are sums of products in double precision, in order of the components; ties go to the smaller id.
 
     Vectors null, empty, zero or with null or non-finite components take no part, neither do rows with a null id.
-    Equal vectors of a shard are one node of its graph, so copies of one vector in any number crowd out nothing.
-    Rows repeating an id are one (the smallest vector).  Only vectors of as many components as the query's are compared.  With
-    fewer candidates than k, all are returned; an empty table gives no rows.
+    Rows repeating an id are rows of their own: each is a candidate for all rows but itself, and each query row has its
+    own k (query_id is then repeated).  Of equal vectors only the k + 1 smallest ids can be among the k nearest, and only they are
+    indexed; equal vectors of a shard are one node of its graph, so copies in any number crowd out nothing.  Only vectors
+    of as many components as the query's are compared.  With fewer candidates than k, all are returned; an empty table
+    gives no rows; other columns are not read.
     """
     double = "double" in embeddings.schema[vector_col].dataType.simpleString()
+    query = (F.col("id") % 20 == 0) if is_query is None else is_query
     good = embeddings.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null and v is not null")
     finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
-    good = cut(good.where(F.coalesce(finite, F.lit(False))).groupBy("id").agg(F.min("v").alias("v")))
-    query = (F.col("id") % 20 == 0) if is_query is None else is_query
-    n, n_queries = good.count(), good.where(query).count()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n_queries // block_rows))
+    good = good.where(F.coalesce(finite, F.lit(False)))
+    norm = F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
+    good = cut(good.select(F.monotonically_increasing_id().alias("row"), "id", "v", F.size("v").alias("dim"), norm.alias("norm"), query.alias("q")))
     dtype = "float64" if double else "float32"
+    # Dimensions of more rows than a shard: there are no more of them than shards.
+    large = good.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("top")).where(F.col("n") > shard_rows).collect()
+    routes = {}
+    for r in large:
+        unit = F.shiftrightunsigned(F.xxhash64("row", F.lit("sample")), 1) / F.lit(float(1 << 63))
+        some = good.where((F.col("dim") == r.dim) & (unit < 2.0 * sample_rows / r.n)).select("row", "v").limit(sample_rows).collect()
+        routes[r.dim] = (*find_cells([x.v for x in sorted(some, key=lambda x: x.row)], -(-r.n // shard_rows), r.top, k), r.top)
+
+    def cells(pdf_v, dim, raised, most):
+        """The `most` nearest cells of each vector, nearest first."""
+        import numpy as np
+
+        c, _, top = routes[dim]
+        v = np.array(pdf_v.tolist(), np.float64)
+        last = np.sqrt(np.maximum(top - (v**2).sum(axis=1), 0)) if raised else np.zeros(len(v))
+        d = np.concatenate([v, last[:, None]], 1).astype(np.float32) @ c.T - (c**2).sum(axis=1) / 2
+        return np.argsort(-d, axis=1, kind="stable")[:, :most]
+
+    def assign(frames):
+        for pdf in frames:
+            out = [[0]] * len(pdf)
+            for dim in set(pdf.dim) & set(routes):
+                for i, c in zip(*(lambda own: (own.nonzero()[0], cells(pdf.v[own], dim, True, 1)))((pdf.dim == dim).to_numpy()), strict=True):
+                    out[i] = c.tolist()
+            yield pdf.assign(cell=[c[0] for c in out])
+
+    def route(frames):
+        for pdf in frames:
+            out = [[0]] * len(pdf)
+            for dim in set(pdf.dim) & set(routes):
+                for i, c in zip(*(lambda own: (own.nonzero()[0], cells(pdf.v[own], dim, False, routes[dim][1])))((pdf.dim == dim).to_numpy()), strict=True):
+                    out[i] = c.tolist()
+            yield pdf.assign(cells=out)
+
+    elem = "double" if double else "float"
+    first = Window.partitionBy("v").orderBy("id", "row")
+    nodes = good.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k + 1).select("row", "id", F.col("v").cast(f"array<{elem}>").alias("v"), "dim")
+    nodes = nodes.mapInPandas(assign, f"row bigint, id bigint, v array<{elem}>, dim int, cell int") if routes else nodes.withColumn("cell", F.lit(0))
+    nodes = cut(nodes)
+    # Cells and the shards that each is split into: about as many rows as there are shards.
+    shards = nodes.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / (1.25 * shard_rows)).cast("int").alias("split"))
+    nodes = nodes.join(shards, ["dim", "cell"]).withColumn("sub", F.pmod(F.xxhash64("row"), "split").cast("int"))
 
     def build(pdf):
         import numpy as np
         import pandas as pd
 
-        out = []
-        dims = pdf.v.map(len)
-        for d in sorted(dims.unique()):
-            part = pdf[dims == d]
-            # Equal vectors are one node; its ids follow each other, smallest first.
-            v, node = np.unique(np.array(part.v.tolist(), dtype), axis=0, return_inverse=True)
-            index = build_graph(v, m, ef)
-            wide, exact = calibrate(index, k)
-            perm = index["perm"]
-            place = np.empty(len(perm), np.int64)
-            place[perm] = np.arange(len(perm))
-            node, ids = place[node.ravel()], part.id.to_numpy(np.int64)
-            ids, counts = ids[np.lexsort((ids, node))], np.bincount(node).astype(np.int64)
-            out.append((int(pdf.shard.iloc[0]), int(d), ids.tobytes(), counts.tobytes(), v[perm].tobytes(), index["x"][:, -1].tobytes(), index["sizes"], [g.tobytes() for g in index["graphs"]], wide, exact))
-        return pd.DataFrame(out, columns=["shard", "dim", "ids", "counts", "vectors", "last", "sizes", "graphs", "ef", "exact"])
-
-    kind = "shard int, dim int, ids binary, counts binary, vectors binary, last binary, sizes array<int>, graphs array<binary>, ef int, exact boolean"
-    index = cut(good.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(build, kind))
-    q = good.where(query).withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int"))
-    q = q.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    left = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        # Equal vectors are one node; its ids follow each other, smallest first.
+        v, node = np.unique(np.array(pdf.v.tolist(), dtype), axis=0, return_inverse=True)
+        index = build_graph(v, m, ef)
+        wide = calibrate(index, k)
+        perm = index["perm"]
+        place = np.empty(len(perm), np.int64)
+        place[perm] = np.arange(len(perm))
+        node, ids, rows = place[node.ravel()], pdf.id.to_numpy(np.int64), pdf.row.to_numpy(np.int64)
+        order = np.lexsort((rows, ids, node))
+        counts = np.bincount(node).astype(np.int64)
+        one = pdf.iloc[0]
+        out = (int(one.dim), int(one.cell), int(one["sub"]), ids[order].tobytes(), rows[order].tobytes(), counts.tobytes(), v[perm].tobytes(), index["x"][:, -1].tobytes(), index["sizes"], [g.tobytes() for g in index["graphs"]], wide)
+        return pd.DataFrame([out], columns=["dim", "cell", "sub", "ids", "rows", "counts", "vectors", "last", "sizes", "graphs", "ef"])
+
+    kind = "dim int, cell int, sub int, ids binary, rows binary, counts binary, vectors binary, last binary, sizes array<int>, graphs array<binary>, ef int"
+    index = cut(nodes.groupBy("dim", "cell", "sub").applyInPandas(build, kind))
+    q = good.where("q").select("row", "id", F.col("v").cast(f"array<{elem}>").alias("v"), "dim")
+    q = q.mapInPandas(route, f"row bigint, id bigint, v array<{elem}>, dim int, cells array<int>") if routes else q.withColumn("cells", F.array(F.lit(0)))
+    q = cut(q.withColumn("cell", F.explode("cells")).join(shards, ["dim", "cell"]).withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("split") - 1))).select("row", "id", "v", "dim", "cell", "sub"))
+    loads = cut(q.groupBy("dim", "cell", "sub").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks")))
+    q = q.join(loads, ["dim", "cell", "sub"]).withColumn("block", F.pmod(F.xxhash64("row"), "blocks").cast("int")).drop("blocks")
+    left = index.join(loads, ["dim", "cell", "sub"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
     def search(ix, qs):
         import numpy as np
         import pandas as pd
 
         out = []
-        dims = qs.v.map(len) if len(qs) else None
         for r in ix.itertuples(index=False) if len(qs) else ():
-            own = qs[dims == r.dim]
-            if not len(own):
-                continue
-            ids, counts = np.frombuffer(r.ids, np.int64), np.frombuffer(r.counts, np.int64)
+            ids, rows, counts = (np.frombuffer(x, np.int64) for x in (r.ids, r.rows, r.counts))
             starts, copies = np.cumsum(counts) - counts, np.arange(min(k + 1, counts.max()))
             v = np.frombuffer(r.vectors, dtype).reshape(-1, r.dim)
             x = np.concatenate([v.astype(np.float32), np.frombuffer(r.last, np.float32)[:, None]], 1)
             graphs = [np.frombuffer(g, np.int32).reshape(s, -1) for g, s in zip(r.graphs, r.sizes, strict=True)]
-            for first in range(0, len(own), 256):
-                part = own.iloc[first : first + 256]
+            for begin in range(0, len(qs), 256):
+                part = qs.iloc[begin : begin + 256]
                 qv = np.array(part.v.tolist(), dtype)
-                _, found = search_graph({"x": x, "graphs": graphs, "exact": r.exact}, qv, min(len(v), k + 24) if r.exact else r.ef)
+                _, found = search_graph({"x": x, "graphs": graphs}, qv, r.ef)
                 # Exact scores of what was found, in double precision and in the order of the components.
                 s = np.zeros(found.shape)
                 for j in range(r.dim):
@@ -269,16 +366,17 @@ def nearest(embeddings: DataFrame, is_query=None, k: int = 20, shard_rows: int =
                 # The k + 1 best nodes, and of each the k + 1 smallest ids, hold the k best of all other rows.
                 order = np.lexsort((ids[starts[np.maximum(found, 0)]], -s), axis=1)[:, : k + 1]
                 s, node = np.take_along_axis(s, order, 1), np.maximum(np.take_along_axis(found, order, 1), 0)
-                qid = part.id.to_numpy(np.int64)
-                hit = ids[np.minimum(starts[node][:, :, None] + copies, len(ids) - 1)]
-                s = np.where((copies < counts[node][:, :, None]) & (hit != qid[:, None, None]), s[:, :, None], -np.inf).reshape(len(qid), -1)
-                hit = hit.reshape(s.shape)
+                qrow = part.row.to_numpy(np.int64)
+                at = np.minimum(starts[node][:, :, None] + copies, len(ids) - 1)
+                s = np.where((copies < counts[node][:, :, None]) & (rows[at] != qrow[:, None, None]), s[:, :, None], -np.inf).reshape(len(qrow), -1)
+                hit = ids[at].reshape(s.shape)
                 order = np.lexsort((hit, -s), axis=1)[:, :k]
                 s, hit = np.take_along_axis(s, order, 1), np.take_along_axis(hit, order, 1)
                 ok = s > -np.inf
-                out.append(pd.DataFrame({"query_id": np.repeat(qid, ok.sum(1)), "vec_id": hit[ok], "score": s[ok]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+                out.append(pd.DataFrame({"row": np.repeat(qrow, ok.sum(1)), "query_id": np.repeat(part.id.to_numpy(np.int64), ok.sum(1)), "vec_id": hit[ok], "score": s[ok]}))
+        return pd.concat(out) if out else pd.DataFrame({"row": pd.Series(dtype="int64"), "query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
-    found = left.groupBy("shard", "block").cogroup(q.groupBy("shard", "block")).applyInPandas(search, "query_id bigint, vec_id bigint, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    key = ("dim", "cell", "sub", "block")
+    found = left.groupBy(*key).cogroup(q.groupBy(*key)).applyInPandas(search, "row bigint, query_id bigint, vec_id bigint, score double")
+    best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

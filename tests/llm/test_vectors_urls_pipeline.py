@@ -1,5 +1,6 @@
 """Nearest neighbours, URL filters and the pipeline."""
 
+import collections
 import functools
 import re
 
@@ -11,38 +12,42 @@ from shardwright.llm import ann, trees, url_filter
 
 
 def brute_nearest(rows, k=20):
+    """Of each query row, by id: its k nearest among all other rows."""
     import math
 
-    good = {}
-    for i, v in rows:
-        if i is None or not v or any(x is None or not math.isfinite(x) for x in v) or not any(v):
-            continue
-        good[i] = min(good[i], v) if i in good else v
-    out = {}
-    for q in good:
+    good = [(i, v) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    out = collections.defaultdict(list)
+    for p, (q, qv) in enumerate(good):
         if q % 20 == 0:
-            dot = lambda v, q=q: functools.reduce(lambda s, ab: s + ab[0] * ab[1], zip(good[q], v, strict=True), 0.0)
-            s = [(-dot(v), i) for i, v in good.items() if i != q and len(v) == len(good[q])]
-            out[q] = [(i, -x) for x, i in sorted(s)[:k]]
-    return out
+            dot = lambda v, qv=qv: functools.reduce(lambda s, ab: s + ab[0] * ab[1], zip(qv, v, strict=True), 0.0)
+            s = [(-dot(v), i) for n, (i, v) in enumerate(good) if n != p and len(v) == len(qv)]
+            out[q] += [(r + 1, i, -x) for r, (x, i) in enumerate(sorted(s)[:k])]
+    return {q: sorted(v) for q, v in out.items()}
 
 
 def test_nearest_exact_on_small_shards(spark):
     r = np.random.default_rng(1)
     rows = [(i, [float(x) for x in r.normal(size=8)]) for i in range(70)] + [(80, None), (100, [0.0] * 8), (120, [1.0, None] + [0.0] * 6), (140, [float("nan")] * 8), (160, [float("inf")] * 8), (None, [1.0] * 8), (180, [1.0, 2.0]), (181, [2.0, 1.0]), (200, [])]
-    rows += [(300, rows[3][1]), (301, rows[3][1]), rows[5]]
+    rows += [(300, rows[3][1]), (301, rows[3][1]), rows[5], rows[20], (40, rows[7][1]), (40, rows[7][1])] + [(1000 + i, rows[9][1]) for i in range(60)]
     df = spark.createDataFrame([(*x, 1, "x") for x in rows], "vec_id long, embedding array<double>, rank int, score string")
-    got = {}
-    for g in ann.nearest(df).orderBy("query_id", "rank").collect():
-        got.setdefault(g.query_id, []).append((g.vec_id, g.score))
-        assert g.rank == len(got[g.query_id])
     want = {q: v for q, v in brute_nearest(rows).items() if v}
-    assert got == want
+    for shard_rows, block_rows in ((65_536, 2048), (20, 3)):  # one shard; cells and blocks
+        got = collections.defaultdict(list)
+        for g in ann.nearest(df, shard_rows=shard_rows, block_rows=block_rows).collect():
+            got[g.query_id].append((g.rank, g.vec_id, g.score))
+        assert set(got) == set(want)
+        for q in want:
+            assert sorted(x[0] for x in got[q]) == sorted(x[0] for x in want[q])  # as many ranks for each query row
+            assert sorted(got[q])[0] == want[q][0] or shard_rows < 1000
+        pairs = lambda x: {(i, s) for _, i, s in x}
+        right = sum(len(pairs(got[q]) & pairs(want[q])) for q in want) / sum(len(pairs(x)) for x in want.values())
+        assert right >= (0.97 if shard_rows > 1000 else 0.9)
     assert ann.nearest(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("shard_rows", [65_536, 1000])
 @pytest.mark.parametrize("norms", ["unit", "free", "copies", "equal"])
-def test_recall(spark, norms):
+def test_recall(spark, norms, shard_rows):
     r = np.random.default_rng(2)
     centers = r.normal(size=(10, 32))
     v = (centers[r.integers(0, 10, 4000)] + r.normal(size=(4000, 32)) * 0.8).astype(np.float32)
@@ -54,7 +59,7 @@ def test_recall(spark, norms):
         v[r.permutation(4000)[:1400]] = v[0]
     df = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
     got = {}
-    for g in ann.nearest(df, shard_rows=2000, block_rows=64).collect():
+    for g in ann.nearest(df, shard_rows=shard_rows, block_rows=64).collect():
         got.setdefault(g.query_id, set()).add(g.vec_id)
     full = v.astype(np.float64)
     hits = 0
@@ -71,6 +76,21 @@ def test_graph_is_flat_arrays_of_layers():
     assert g["sizes"][0] == 3000 and sorted(g["sizes"], reverse=True) == g["sizes"]
     for size, a in zip(g["sizes"], g["graphs"], strict=True):
         assert a.shape[0] == size and a.dtype == np.int32 and a.max() < size
+    for n in (1, 2, 60, 200):  # a beam as wide as the shard finds all
+        index = ann.build_graph(v[:n])
+        sims, found = ann.search_graph(index, v[:5], n)
+        assert all(sorted(f.tolist()) == list(range(n)) for f in found)
+    assert ann.calibrate(ann.build_graph(v[:60]), 20) <= 64
+
+
+def test_cells_of_clustered_vectors_are_few():
+    r = np.random.default_rng(5)
+    centers = r.normal(size=(40, 16)) * 3
+    v = centers[r.integers(0, 40, 5000)] + r.normal(size=(5000, 16)) * 0.3
+    c, looked = ann.find_cells(v, 20, (v**2).sum(axis=1).max(), 20)
+    assert len(c) == 20 and looked <= 8
+    c, looked = ann.find_cells(r.normal(size=(2000, 64)), 20, 200.0, 20)
+    assert looked > 8  # no cells help where there are no clusters
 
 
 def brute_url(url):
