@@ -32,8 +32,8 @@ class Layout:
 
     known: int = 1 << 16
     least: int = 32
-    groups: int = 64
-    in_group: int = 64
+    groups: int = 16
+    in_group: int = 128
     middle: int = 31
     side: int = 2
     width: int = 16
@@ -194,21 +194,26 @@ def _hidden(params, ctx):
     import numpy as np
 
     e, place, b = params[:3]
-    h = e[ctx[:, 0]] * place[0]
+    h = np.take(e * place[0] + b, ctx[:, 0], axis=0)
     for k in range(1, len(place)):
-        h += e[ctx[:, k]] * place[k]
-    return np.tanh(h + b)
+        h += np.take(e * place[k], ctx[:, k], axis=0)
+    return np.tanh(h, out=h)
 
 
-def _soft(z):
-    """Rows of softmax values, and the logarithm of each row's sum."""
+def _exp(z):
+    """exp(z) in place, up to a factor for each row, the sums of its rows, and the logarithm of the factor.
+
+    Scores are small as a rule; where they are not, each row's largest is taken off first.
+    """
     import numpy as np
 
-    top = z.max(axis=1, keepdims=True)
-    p = np.exp(z - top)
-    s = p.sum(axis=1, keepdims=True)
-    p /= s
-    return p, np.log(s[:, 0]) + top[:, 0]
+    if z.size and (z.max() > 60 or z.max(axis=1).min() < -60):
+        top = z.max(axis=1)
+        z -= top[:, None]
+    else:
+        top = 0
+    np.exp(z, out=z)
+    return z, z @ np.ones(z.shape[1], z.dtype), top
 
 
 def _by_group(group, place, groups: int):
@@ -221,19 +226,25 @@ def _by_group(group, place, groups: int):
     return [(g, rows[cuts[g] : cuts[g + 1]]) for g in range(groups) if cuts[g + 1] > cuts[g]]
 
 
-def log_probs(params, ctx, group, place):
+def log_probs(params, ctx, group, place, at_once: int = 4096):
     """log P(group | window) of each word, plus log P(word | group, window) where the network tells words apart."""
     import numpy as np
 
     _, _, _, wo, bo, wi, bi = params
     h = _hidden(params, ctx)
-    z = h @ wo + bo
-    top = z.max(axis=1)
-    out = z[np.arange(len(z)), group] - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
+    out = np.empty(len(h), h.dtype)
+
+    def add(rows, own, w, b, which, set_):
+        for k in range(0, len(own), at_once):
+            part = slice(k, k + at_once)
+            z = own[part] @ w + b
+            hit = z[np.arange(len(z)), which[part]]
+            _, total, top = _exp(z)
+            out[rows[part]] = hit - np.log(total) - top + (0 if set_ else out[rows[part]])
+
+    add(np.arange(len(h)), h, wo, bo, group, True)
     for g, rows in _by_group(group, place, len(wi)):
-        z = h[rows] @ wi[g] + bi[g]
-        top = z.max(axis=1)
-        out[rows] += z[np.arange(len(rows)), place[rows]] - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
+        add(rows, h[rows], wi[g], bi[g], place[rows], False)
     return out
 
 
@@ -244,26 +255,32 @@ def train_step(params, sums, ctx, group, place, rate):
     e, scale, b, wo, bo, wi, bi = params
     n = len(group)
     h = _hidden(params, ctx)
-    p, _ = _soft(h @ wo + bo)
-    p[np.arange(n), group] -= 1
-    p /= n
+
+    def errors(own, w, bias, which):
+        """The gradient of the loss in the scores."""
+        p, total, _ = _exp(own @ w + bias)
+        p *= (1 / (total * n))[:, None]
+        p[np.arange(len(p)), which] -= 1 / n
+        return p
+
+    p = errors(h, wo, bo, group)
     dh = p @ wo.T
     gwi, gbi = np.zeros_like(wi), np.zeros_like(bi)
     for g, rows in _by_group(group, place, len(wi)):
         own = h[rows]
-        q, _ = _soft(own @ wi[g] + bi[g])
-        q[np.arange(len(rows)), place[rows]] -= 1
-        q /= n
+        q = errors(own, wi[g], bi[g], place[rows])
         gwi[g], gbi[g] = own.T @ q, q.sum(0)
         dh[rows] += q @ wi[g].T
     dh *= 1 - h * h
     # All places of the window share the context vectors: rows of one number are added up after a sort.
-    ids = ctx.T.ravel()
-    order = np.argsort(ids, kind="stable")
-    ids = ids[order]
-    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-    ge, gs = np.zeros_like(e), np.stack([(dh * e[ctx[:, k]]).sum(0) for k in range(len(scale))])
-    ge[ids[first]] = np.add.reduceat(np.concatenate([dh * scale[k] for k in range(len(scale))])[order], first, axis=0)
+    ge, gs = np.zeros_like(e), np.empty_like(scale)
+    for k in range(len(scale)):
+        order = np.argsort(ctx[:, k], kind="stable")
+        ids = ctx[order, k]
+        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        own, part = ids[first], np.add.reduceat(np.take(dh, order, axis=0), first, axis=0)
+        gs[k] = (part * e[own]).sum(0)
+        ge[own] += part * scale[k]
     for x, s, g in zip(params, sums, (ge, gs, dh.sum(0), h.T @ p, p.sum(0), gwi, gbi), strict=True):
         s += g * g
         x -= rate * g / np.sqrt(s)
@@ -356,7 +373,7 @@ def fit_lm(docs: DataFrame, rounds: int = 2, rate: float = 0.1, batch: int = 409
     return {"vocab": vocab, "flat": flat, "counts": counts, "rare_tokens": rare, "rare_types": int(types) - len(known)}
 
 
-def score_lm(docs: DataFrame, model: dict, own: bool = True, id_col: str = "doc_id", text_col: str = "text", rows_at_once: int = 16384) -> DataFrame:
+def score_lm(docs: DataFrame, model: dict, own: bool = True, id_col: str = "doc_id", text_col: str = "text", rows_at_once: int = 1 << 17) -> DataFrame:
     """doc_id, n_words, log_likelihood (sum over all words of log P(word | both sides)), mean_log_likelihood, n_unseen.
 
     Each word's own place is masked, the words around it are seen.  P(word | ...) is the network's for the most frequent
