@@ -79,7 +79,7 @@ class _Compiler:
                 raise PredicateError("RLIKE compares strings")
             if b.literal is None:
                 raise PredicateError("the pattern of RLIKE is a literal")
-            test = lambda x, y: x.rlike(f"^(?:{b.literal})$")
+            test = lambda x, y: x.rlike(rf"\A(?:{b.literal})\z")
         elif op == "=":
             test = self.equality(a, b)
         else:
@@ -145,8 +145,13 @@ class _Compiler:
             value_kind, default = "int", int(self.defaults.get(v, 0))
         elif isinstance(dtype, (T.FloatType, T.DoubleType)):
             value_kind, default = "double", float(self.defaults.get(v, 0.0))
-        elif isinstance(dtype, T.DecimalType):
+        elif isinstance(dtype, T.DecimalType) and dtype.scale > 0:
+            value_kind, default = "double", float(self.defaults.get(v, 0.0))
+        elif isinstance(dtype, T.DecimalType):  # unsigned 64-bit numbers, which count as signed
             value_kind, default = "int", int(self.defaults.get(v, 0))
+            whole = F.lit(str(1 << 64)).cast("decimal(38,0)")
+            wrap = lambda x: F.when(x >= F.lit(str(1 << 63)).cast("decimal(38,0)"), x.cast("decimal(38,0)") - whole).otherwise(x.cast("decimal(38,0)"))
+            col = F.transform(col, wrap) if many else wrap(col)
         elif isinstance(dtype, T.StringType):
             value_kind, default = "string", self.defaults.get(v, "")
         else:
