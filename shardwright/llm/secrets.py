@@ -11,7 +11,8 @@ from . import trees
 NAMED = r"(?:passw(?:or)?d|passphrase|pwd|secret|token|api[_.-]?key|access[_.-]?key|private[_.-]?key|auth|bearer|credential)"
 _ID = "[A-Za-z0-9_.-]"
 #: What stands before an assigned value: an identifier with a word that names a secret, and =, :, := or =>.
-ASSIGNED = rf"(?<!{_ID}){_ID}*?(?i:{NAMED}){_ID}{{0,40}}+[\"']?[ \t]{{0,4}}(?:=>|:=|=|:)[ \t]{{0,4}}[\"']?"
+#: The look ahead passes over most words at once.
+ASSIGNED = rf"(?<!{_ID})(?={_ID}*+[\"']?[ \t]{{0,4}}[=:]){_ID}*?(?i:{NAMED}){_ID}{{0,40}}+[\"']?[ \t]{{0,4}}(?:=>|:=|=|:)[ \t]{{0,4}}[\"']?"
 #: What stands before a password in a URL.
 USERINFO = r"://[^\s/@:\"']{0,200}:"
 #: A candidate: an assigned value of any length and characters but blanks and quotes; a password in a URL; any other maximal run of 16
