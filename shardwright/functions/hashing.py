@@ -17,23 +17,37 @@ def fingerprint_of(data: bytes) -> int:
     return 2 if h < 2 else h
 
 
-def murmur3(data: bytes, seed: int) -> int:
-    """MurmurHash3 (x86, 32 bits), unsigned, by its public definition."""
-    mask, h, n = 0xFFFFFFFF, seed & 0xFFFFFFFF, len(data)
+def murmur3_many(values: list[bytes], seed: int):
+    """MurmurHash3 (x86, 32 bits) of many strings by its public definition: one array step for each four bytes of the longest."""
+    import numpy as np
+
+    u = np.uint32
+    sizes = np.fromiter(map(len, values), np.int64, len(values))
+    order = np.argsort(-sizes, kind="stable")  # the strings that are not over yet come first
+    words, rest = sizes[order] // 4, sizes[order] % 4
+    joined = np.frombuffer(b"".join(values) + bytes(4), np.uint8)
+    starts = (np.cumsum(sizes) - sizes)[order]
+    h = np.full(len(values), seed & 0xFFFFFFFF, u)
+    turn = lambda x, r: x << u(r) | x >> u(32 - r)
+    mix = lambda k: turn(k * u(0xCC9E2D51), 15) * u(0x1B873593)
+    word = lambda at: sum((joined[at + j].astype(u) << u(8 * j) for j in range(1, 4)), joined[at].astype(u))
+    with np.errstate(over="ignore"):
+        for k in range(int(words[0]) if len(words) else 0):
+            n = int(np.searchsorted(-words, -k, side="left"))
+            h[:n] = turn(h[:n] ^ mix(word(starts[:n] + 4 * k)), 13) * u(5) + u(0xE6546B64)
+        tail = word(starts + 4 * words) & ((u(1) << (u(8) * rest.astype(u))) - u(1))
+        h ^= np.where(rest > 0, mix(tail), u(0)) ^ sizes[order].astype(u)
+        for shift, by in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+            h = (h ^ h >> u(shift)) * u(by)
+        h ^= h >> u(16)
+    out = np.empty_like(h)
+    out[order] = h
+    return out
 
-    def mix(k):
-        k = k * 0xCC9E2D51 & mask
-        return ((k << 15 | k >> 17) & mask) * 0x1B873593 & mask
 
-    for i in range(0, n - n % 4, 4):
-        h ^= mix(int.from_bytes(data[i : i + 4], "little"))
-        h = ((h << 13 | h >> 19) & mask) * 5 + 0xE6546B64 & mask
-    if n % 4:
-        h ^= mix(int.from_bytes(data[n - n % 4 :], "little"))
-    h ^= n
-    for shift, by in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
-        h = (h ^ h >> shift) * by & mask
-    return h ^ h >> 16
+def murmur3(data: bytes, seed: int) -> int:
+    """MurmurHash3 (x86, 32 bits), unsigned."""
+    return int(murmur3_many([data], seed)[0])
 
 
 def _bytes(v):
@@ -62,7 +76,9 @@ def murmur3_32(c: Column, seed: int = 10) -> Column:
 
     @F.pandas_udf("bigint")
     def run(s: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else murmur3(_bytes(v), seed) for v in s], dtype="Int64")
+        out = pd.Series(murmur3_many([b"" if v is None else _bytes(v) for v in s], seed).astype("int64"), dtype="Int64", index=s.index)
+        out[s.isna()] = pd.NA
+        return out
 
     return run(c)
 
@@ -79,22 +95,87 @@ def xxh3_shard(c: Column, n: int) -> Column:
     return run(c)
 
 
+#: Bytes of a row of crc32c()'s table of the data.
+_ROW = 64
+
+
 def crc32c(data: bytes, crc: int = 0) -> int:
-    """CRC-32C (Castagnoli) by table."""
-    crc ^= 0xFFFFFFFF
+    """CRC-32C (Castagnoli): rows of 64 bytes go through the byte table side by side, then neighbours are joined pair by pair.
+
+    The sum is linear: the sum of two rows is that of the first, carried over the second's bytes, XOR that of the second.
+    """
+    import numpy as np
+
     table = _crc_table()
+    rows = len(data) // _ROW
+    crc ^= 0xFFFFFFFF
+    if rows > 1:
+        block = np.frombuffer(data, np.uint8, rows * _ROW).reshape(rows, _ROW)
+        c = np.zeros(rows, np.uint32)
+        c[0] = crc
+        for k in range(_ROW):
+            c = table[(c ^ block[:, k]) & 0xFF] ^ c >> np.uint32(8)
+        step = 0
+        while len(c) > 1:
+            if len(c) % 2:  # rows of zeros in front change nothing
+                c = np.concatenate([np.zeros(1, np.uint32), c])
+            c = _carried(c[0::2], step) ^ c[1::2]
+            step += 1
+        crc, data = int(c[0]), data[rows * _ROW :]
     for b in data:
-        crc = table[(crc ^ b) & 0xFF] ^ crc >> 8
+        crc = int(table[(crc ^ b) & 0xFF]) ^ crc >> 8
     return crc ^ 0xFFFFFFFF
 
 
-_TABLE: list[int] = []
+_TABLES: dict = {}
+
+
+def _crc_table():
+    import numpy as np
+
+    if "byte" not in _TABLES:
+        t = np.arange(256, dtype=np.uint32)
+        for _ in range(8):
+            t = np.where(t & 1, t >> np.uint32(1) ^ np.uint32(0x82F63B78), t >> np.uint32(1))
+        _TABLES["byte"] = t
+    return _TABLES["byte"]
+
+
+def _carried(c, step: int):
+    """Sums carried over _ROW * 2**step zero bytes: four tables, one for each byte of a sum, made by squaring."""
+    import numpy as np
+
+    if step not in _TABLES:
+        if step:
+            one = np.uint32(1) << np.arange(32, dtype=np.uint32)
+            bits = _carried(_carried(one, step - 1), step - 1)
+        else:
+            bits = np.uint32(1) << np.arange(32, dtype=np.uint32)
+            for _ in range(_ROW):
+                bits = _crc_table()[bits & 0xFF] ^ bits >> np.uint32(8)
+        n = np.arange(256, dtype=np.uint32)
+        _TABLES[step] = [np.bitwise_xor.reduce(np.where(n[:, None] >> np.arange(8, dtype=np.uint32) & 1, bits[8 * j : 8 * j + 8], np.uint32(0)), axis=1) for j in range(4)]
+    t = _TABLES[step]
+    return t[0][c & 0xFF] ^ t[1][c >> np.uint32(8) & 0xFF] ^ t[2][c >> np.uint32(16) & 0xFF] ^ t[3][c >> np.uint32(24)]
+
+
+def xxh64_of(*columns, seed: int = FINGERPRINT_SEED) -> Column:
+    """XXH64 of a tuple: each value's bytes (numbers as 8 little-endian bytes, strings as UTF-8), the sum of one being the seed of the next; null if any is null."""
+
+    def run(*series: pd.Series) -> pd.Series:
+        import struct
+
+        import xxhash
+
+        def one(values):
+            h = seed
+            for v in values:
+                if v is None or v != v:
+                    return None
+                data = v.encode() if isinstance(v, str) else bytes(v) if isinstance(v, (bytes, bytearray)) else struct.pack("<d", v) if isinstance(v, float) else struct.pack("<q", int(v))
+                h = xxhash.xxh64_intdigest(data, h)
+            return h - (1 << 64) if h >> 63 else h
 
+        return pd.Series([one(v) for v in zip(*(x.astype(object) for x in series), strict=True)], dtype="Int64")
 
-def _crc_table() -> list[int]:
-    if not _TABLE:
-        for i in range(256):
-            for _ in range(8):
-                i = i >> 1 ^ 0x82F63B78 if i & 1 else i >> 1
-            _TABLE.append(i)
-    return _TABLE
+    return F.pandas_udf(run, "bigint", functionType=200)(*columns)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,23 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 
+class Routed(NamedTuple):
+    """A record that its maker sends to a shard of its own choice."""
+
+    shard: int | str
+    values: tuple
+
+
+def to_shard(shard: int | str, *values) -> Routed:
+    """What a handler or mapper yields to send a record to a shard other than the one that it works on."""
+    return Routed(shard, values)
+
+
+def placed_rows(found, shard):
+    """Yielded records as tuples that end with their shard."""
+    return [(*x.values, x.shard) if isinstance(x, Routed) else (*x, shard) for x in found or ()]
+
+
 class ShardHandler:
     """State and methods of one joiner.  start(shard) and finish() may yield records, as may the bound methods.
 
@@ -24,11 +42,12 @@ class ShardHandler:
         return iter(())
 
 
-def join_shards(inputs: list[tuple[DataFrame, str]], handler: Callable[[], ShardHandler], n_shards: int, schema: str, shard: str = "shard") -> DataFrame:
+def join_shards(inputs: list[tuple[DataFrame, str]], handler: Callable[[], ShardHandler], n_shards: int, schema: str, shard: str = "shard", named: bool = False) -> DataFrame:
     """N inputs (DataFrame with an int column `shard`, name of the handler's method) joined shard by shard.
 
     All records of input 0 go to its method, then those of input 1, and so on; then finish() is called.  Methods get a
-    dict and yield tuples of `schema`; the result also has the shard.  Records stream by Arrow batches, sorted by shard and
+    dict and yield tuples of `schema`, or to_shard(shard, ...) to send a record elsewhere; the result also has the shard: a
+    number, or with `named` the name that each record was sent to.  Records stream by Arrow batches, sorted by shard and
     input; a shard is never collected, what a handler keeps is its own matter.  For joins and counts by key
     use DataFrame joins and groupBy, which spill and combine; this is for logic that has no such form.
     """
@@ -41,7 +60,7 @@ def join_shards(inputs: list[tuple[DataFrame, str]], handler: Callable[[], Shard
     union = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
     placed = union.repartitionById(n_shards, F.col("__shard")).sortWithinPartitions("__shard", "__input")
     methods = [m for _, m in inputs]
-    kind = _parse_datatype_string(f"{schema}, {shard} int")
+    kind = _parse_datatype_string(f"{schema}, {shard} {'string' if named else 'int'}")
 
     def run(batches):
         import pyarrow as pa
@@ -49,6 +68,9 @@ def join_shards(inputs: list[tuple[DataFrame, str]], handler: Callable[[], Shard
         h, now = handler(), None
         names, arrow = kind.names, to_arrow_schema(kind)
 
+        def own(s):
+            return f"{s:04d}" if named else s
+
         def batch(rows):
             return pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], arrow)
 
@@ -58,13 +80,13 @@ def join_shards(inputs: list[tuple[DataFrame, str]], handler: Callable[[], Shard
                 s, k = r["__shard"], r["__input"]
                 if s != now:
                     if now is not None:
-                        rows += [(*x, now) for x in h.finish()]
+                        rows += placed_rows(h.finish(), own(now))
                     now = s
-                    rows += [(*x, now) for x in h.start(s)]
-                rows += [(*x, now) for x in getattr(h, methods[k])(r[f"__r{k}"]) or ()]
+                    rows += placed_rows(h.start(s), own(now))
+                rows += placed_rows(getattr(h, methods[k])(r[f"__r{k}"]), own(now))
             if rows:
                 yield batch(rows)
-        if now is not None and (rows := [(*x, now) for x in h.finish()]):
+        if now is not None and (rows := placed_rows(h.finish(), own(now))):
             yield batch(rows)
 
     return placed.mapInArrow(run, kind)

@@ -11,32 +11,45 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), spark._jvm.org.apache.hadoop.fs.Path
 
 
-def write_shards(df: DataFrame, path: str, table: str, fmt: str = "txt", compression: str | None = None, value: str = "value", shard: str = "shard", n_shards: int | None = None, max_records: int = 0) -> list[tuple[str, str]]:
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme: without one it lies in the cluster's own file system, not on the executors' disks."""
+    fs, jpath = _fs(spark, path)
+    return fs.makeQualified(jpath(path)).toString()
+
+
+def write_shards(
+    df: DataFrame, path: str, table: str, fmt: str = "txt", compression: str | None = None, value: str = "value", shard: str = "shard", n_shards: int | None = None, max_records: int = 0, max_bytes: int = 0, level: int | None = None, pieces: int = 1
+) -> list[tuple[str, str]]:
     """Write df by shard and return the manifest [(shard, file)].
 
-    Rows of a shard are brought to one task and written by Spark's own writers (task commits, retries), then the files
-    get their names.  txt: value and a line feed (gzip by Spark; zstd as one frame for each batch); lst: LST1.
+    Rows of a shard are brought to one task, or to as many as `pieces` says where shards are hot, and written with task
+    commits, then the files get their names.  txt: value and a line feed (compression gzip or zstd, with a level); lst: LST1.
+    A file ends after `max_records` records, or when `max_bytes` bytes before compression have been written to it.
+    Plain and gzip text without a limit of bytes or a level goes through Spark's own writer.
     """
     spark = df.sparkSession
     ext = {"txt": ".txt" + {None: "", "gzip": ".gz", "zstd": ".zst"}[compression], "lst": ".lst"}[fmt]
     name = F.format_string(f"{table}-shard-%04d", F.col(shard)) if n_shards else F.col(shard)
     rows = df.select(name.alias("__name"), F.col(value))
-    rows = rows.repartition(n_shards, "__name") if n_shards else rows.repartition("__name")
+    keys = ["__name"] if pieces == 1 else ["__name", F.pmod(F.xxhash64(value, F.monotonically_increasing_id()), F.lit(pieces))]
+    # A stated number of partitions is kept as it is; without one, small partitions are merged again.
+    n = (n_shards or int(spark.conf.get("spark.sql.shuffle.partitions"))) * pieces if n_shards or pieces > 1 else None
+    rows = rows.repartition(n, *keys) if n else rows.repartition(*keys)
     fs, jpath = _fs(spark, path)
     if fs.exists(jpath(path)):
         raise ValueError(f"{path} exists")
     work = f"{path}/_work"
-    if fmt == "txt" and compression != "zstd":
+    if fmt == "txt" and compression != "zstd" and not max_bytes and level is None:
         text = rows.select("__name", F.col(value).cast("string").alias("value"))
         text.write.option("compression", compression or "none").option("maxRecordsPerFile", max_records).partitionBy("__name").text(work)
     else:
-        write_framed(rows, work, value, fmt)
+        write_framed(rows, qualified(spark, work), value, fmt, compression, max_records, max_bytes, level)
     out = []
-    for folder in sorted(fs.listStatus(jpath(work)), key=lambda s: s.getPath().getName()):
+    for folder in sorted(fs.listStatus(jpath(work)), key=lambda s: s.getPath().getName()) if fs.exists(jpath(work)) else ():
         if not folder.isDirectory():
             continue
         own = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(folder.getPath().getName().partition("=")[2])
-        parts = sorted((f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+        parts = sorted((f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-") and not f.getPath().getName().endswith(".tmp")), key=lambda p: p.getName())
         for k, part in enumerate(parts):
             target = f"{path}/{own}{f'-{k:03d}' if len(parts) > 1 else ''}{ext}"
             fs.mkdirs(jpath(target).getParent())
@@ -47,16 +60,41 @@ def write_shards(df: DataFrame, path: str, table: str, fmt: str = "txt", compres
     return out
 
 
-def write_framed(rows: DataFrame, work: str, value: str, fmt: str) -> None:
-    """Files of bytes that Spark has no writer for, through the task's own Hadoop client where there is one, else as shared files.
+class _Part:
+    """One file that is being written: an attempt's own name first, the final one when it is closed."""
 
-    Every task writes <work>/__name=<shard>/part-<task>; retried tasks write the same names again.
-    """
-    import os
+    def __init__(self, fs, path: str, attempt: int, fmt: str, compression: str | None, level: int | None):
+        import gzip
+
+        import zstandard
+
+        self.fs, self.path, self.tmp, self.fmt = fs, path, f"{path}.{attempt}.tmp", fmt
+        self.raw = fs.open_output_stream(self.tmp, compression=None)
+        if fmt == "lst":
+            self.to = self.raw
+        elif compression == "zstd":
+            self.to = zstandard.ZstdCompressor(level=level or 1).stream_writer(self.raw, closefd=False)
+        else:
+            self.to = gzip.GzipFile(fileobj=self.raw, mode="wb", compresslevel=1 if level is None else level, mtime=0) if compression == "gzip" else self.raw
+
+    def fill(self, records) -> None:
+        """All records of an iterator, then the end of the file."""
+        from ..sources.lst import encode
 
-    local = work.removeprefix("file://").removeprefix("file:")
-    if "://" in local:
-        raise ValueError(f"{fmt} files need a folder that all executors mount: {work}")
+        for piece in encode(records) if self.fmt == "lst" else (v + b"\n" for v in records):
+            self.to.write(piece)
+        if self.to is not self.raw:
+            self.to.close()
+        self.raw.close()
+        self.fs.move(self.tmp, self.path)
+
+
+def write_framed(rows: DataFrame, work: str, value: str, fmt: str, compression: str | None = None, max_records: int = 0, max_bytes: int = 0, level: int | None = None) -> None:
+    """Files that Spark has no writer for, or that end by raw size, in the file system that `work` (with a scheme) names.
+
+    Every task writes <work>/__name=<shard>/part-<task>-<number>, first under the name of its attempt; an attempt that
+    ends later replaces the same files.  Local, S3, GCS and HDFS paths are known; others are an error.
+    """
     rows = rows.sortWithinPartitions("__name")
 
     def run(batches):
@@ -64,29 +102,35 @@ def write_framed(rows: DataFrame, work: str, value: str, fmt: str) -> None:
         import urllib.parse
 
         import pandas as pd
-        import zstandard
+        from pyarrow.fs import FileSystem
         from pyspark import TaskContext
 
-        from ..sources.lst import encode
-
-        records = ((n, v) for pdf in batches for n, v in zip(pdf["__name"], pdf[value], strict=True))
+        fs, root = FileSystem.from_uri(work.replace("file:/", "file:///", 1) if work.startswith("file:/") and not work.startswith("file://") else work)
+        task = TaskContext.get()
+        records = ((n, v.encode() if isinstance(v, str) else bytes(v)) for pdf in batches for n, v in zip(pdf["__name"], pdf[value], strict=True) if v is not None)
         done = []
         for name, group in itertools.groupby(records, key=lambda r: r[0]):
-            folder = f"{local}/__name={urllib.parse.quote(str(name), safe='')}"
-            os.makedirs(folder, exist_ok=True)
-            path = f"{folder}/part-{TaskContext.get().partitionId():05d}"
-            data = (v.encode() if isinstance(v, str) else bytes(v) for _, v in group)
-            with open(path + ".tmp", "wb") as f:
-                if fmt == "lst":
-                    for piece in encode(data):
-                        f.write(piece)
-                else:
-                    with zstandard.ZstdCompressor(level=1).stream_writer(f, closefd=False) as z:
-                        for v in data:
-                            z.write(v + b"\n")
-            os.replace(path + ".tmp", path)
-            done.append(path)
-        yield pd.DataFrame({"path": done})
+            folder = f"{root}/__name={urllib.parse.quote(str(name), safe='')}"
+            fs.create_dir(folder, recursive=True)
+            left = (v for _, v in group)
+            for k in itertools.count():
+                first = next(left, None)
+                if first is None:
+                    break
+
+                def some(first=first):
+                    n, size, v = 0, 0, first
+                    while v is not None:
+                        yield v
+                        n, size = n + 1, size + len(v) + (fmt == "txt")
+                        if n == max_records or (max_bytes and size >= max_bytes):
+                            return
+                        v = next(left, None)
+
+                path = f"{folder}/part-{task.partitionId():05d}-{k:05d}"
+                _Part(fs, path, task.taskAttemptId(), fmt, compression, level).fill(some())
+                done.append(path)
+        yield pd.DataFrame({"path": pd.Series(done, dtype="object")})
 
     rows.mapInPandas(run, "path string").write.format("noop").mode("overwrite").save()
 

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -28,8 +28,9 @@ def read_text(spark: SparkSession, inputs: str | Sequence[str | FileSpec], skip_
     """value, file, meta (struct of i64 and text), and with positions also pos (0-based in its file, after the header).
 
     Lines end at \\n only; one \\r before it is stripped, others are data.  Inputs are united as they are listed, a file
-    listed twice is read twice.  Compression goes by the file's extension; read_any() looks at the bytes.  Spark
-    splits large files, so positions and headers need whole files: those rows come from one task for each file.
+    listed twice is read twice; a path that ends in ** takes in all files below it.  Compression goes by the file's
+    extension; read_any() looks at the bytes.  Large files are read in splits, also with positions and headers: lines
+    are numbered inside their split, and the lines of the splits before it are counted in a pass of its own.
     """
     specs = [s if isinstance(s, FileSpec) else FileSpec(s) for s in ([inputs] if isinstance(inputs, str) else inputs)]
     parts = []
@@ -37,17 +38,48 @@ def read_text(spark: SparkSession, inputs: str | Sequence[str | FileSpec], skip_
         path = os.path.expanduser(s.glob)
         recursive = path.endswith("**")
         reader = spark.read.option("recursiveFileLookup", "true") if recursive else spark.read
-        path = path[:-2] if recursive else path
-        if skip_header or with_position:
-            df = read_any(spark, path)
-            df = df.where(F.col("pos") >= skip_header).withColumn("pos", F.col("pos") - skip_header)
-        else:
-            df = reader.option("lineSep", "\n").text(path).select(F.regexp_replace("value", r"\r\z", "").alias("value"), F.col("_metadata.file_path").alias("file"))
+        lines = reader.option("lineSep", "\n").text(path[:-2] if recursive else path)
+        df = _numbered(lines, skip_header) if skip_header or with_position else lines.select("value", F.col("_metadata.file_path").alias("file"))
+        df = df.withColumn("value", F.regexp_replace("value", r"\r\z", ""))
         parts.append(df.withColumn("meta", F.struct(F.lit(s.i64).cast("bigint").alias("i64"), F.lit(s.text).cast("string").alias("text"))))
     out = functools.reduce(DataFrame.unionByName, parts)
     return out if with_position or not skip_header else out.drop("pos")
 
 
+def _numbered(lines: DataFrame, skip: int) -> DataFrame:
+    """value, file, pos of text lines: the number in the split plus the lines of the file's earlier splits; the first `skip` of each file go."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        at, n = None, 0
+        for b in batches:
+            files, blocks = b.column(1), b.column(2)
+            new = np.zeros(b.num_rows, bool)
+            if b.num_rows:
+                new[0] = (files[0].as_py(), blocks[0].as_py()) != at
+                same = np.asarray(pc.and_(pc.equal(files[1:], files[:-1]), pc.equal(blocks[1:], blocks[:-1])).to_numpy(zero_copy_only=False), bool)
+                new[1:] = ~same
+                at = files[b.num_rows - 1].as_py(), blocks[b.num_rows - 1].as_py()
+            rows = np.arange(b.num_rows)
+            starts = np.maximum.accumulate(np.where(new, rows, -1))
+            pos = np.where(starts < 0, n + rows, rows - starts)
+            n = int(pos[-1]) + 1 if len(pos) else n
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pos.astype(np.int64))], ["value", "file", "block", "pos"])
+
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    sizes = lines.select(*place).groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    rows = lines.select("value", *place).mapInArrow(run, "value string, file string, block bigint, pos bigint")
+    out = rows.join(sizes, ["file", "block"], "left")
+    # Both passes cut files alike; should a session's settings change in between, that is an error and not a wrong number.
+    first = F.coalesce("first", F.raise_error(F.lit("the splits of a file changed between two passes over it")).cast("bigint"))
+    return out.withColumn("pos", F.col("pos") + first - skip).where("pos >= 0").select("value", "file", "pos")
+
+
 def decompress(data: bytes) -> bytes:
     """The content of a file by its first bytes: zstd, bzip2, gzip, zlib or none."""
     if data[:4] == b"\x28\xb5\x2f\xfd":
@@ -97,6 +129,38 @@ def read_csv(spark: SparkSession, paths, columns: int | None = None, delimiter:
     return df.where(F.size("fields") == columns) if columns else df
 
 
+def read_csv_rows(spark: SparkSession, paths, delimiter: str = ",", header: bool = False) -> DataFrame:
+    """fields (array of strings), file, pos (0-based number of the row): rows whose quoted fields may hold line feeds.
+
+    A row ends at a line feed outside quotes; a doubled quote inside quotes is one quote; a carriage return before the
+    end goes.  Where a row begins depends on all quotes before it, so a file is one unit of work; it is read line by line.
+    Blank rows are skipped; with header the first row of each file goes.
+    """
+
+    def run(batches):
+        import csv
+        import io
+
+        import pyarrow as pa
+
+        csv.field_size_limit((1 << 31) - 1)
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rows = (r for r in csv.reader(io.TextIOWrapper(io.BytesIO(decompress(content)), "utf-8", "replace", newline=""), delimiter=delimiter) if any(r) or len(r) > 1)
+                if header:
+                    next(rows, None)
+                held, first = [], 0
+                for r in rows:
+                    held.append(r)
+                    if len(held) == 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.string())), pa.array([path] * len(held)), pa.array(range(first, first + len(held)), pa.int64())], ["fields", "file", "pos"])
+                        held, first = [], first + len(held)
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.string())), pa.array([path] * len(held)), pa.array(range(first, first + len(held)), pa.int64())], ["fields", "file", "pos"])
+
+    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(run, "fields array<string>, file string, pos bigint")
+
+
 _STRING = r'"(?:[^"\\]|\\.)*"'
 
 

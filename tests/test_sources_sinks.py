@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from shardwright.operators.cogroup import ShardHandler
+from shardwright.operators.cogroup import ShardHandler, to_shard
 from shardwright.operators.pipeline import Pipeline, PipelineError
 from shardwright.sources import files, lst
 
@@ -148,7 +148,7 @@ def test_pipeline_join_counters_and_names(spark, tmp_path):
     got = {k: sorted(v.decode().split()) for k, v in shards(tmp_path / "out").items()}
     assert got == {"out-shard-0000.txt": ["3:11"], "out-shard-0001.txt": ["1:1", "4:1"], "out-shard-0002.txt": ["2:11"]}
     assert p.counters["out"]["fn-writes"] == 4
-    assert (tmp_path / "out" / "counter_map.csv").read_text() == "counter,value\nfn-writes,4\n"
+    assert (tmp_path / "out" / "counter_map.csv").read_text() == "counter,value\nfn-writes,4\nmap-input-s1,4\nmap-input-s2,2\n"
 
 
 def test_pipeline_json_custom_shards_and_parse_errors(spark, tmp_path):
@@ -159,7 +159,7 @@ def test_pipeline_json_custom_shards_and_parse_errors(spark, tmp_path):
     assert p.run()
     got = {k: sorted(gzip.decompress(v).decode().split("\n")[:-1]) for k, v in shards(tmp_path / "w").items()}
     assert got == {"a/b/zed.txt.gz": ['{"foo":"bar"}', '{"foo":null}'], "other.txt.gz": ['{"id":1}']}
-    assert p.counters["w"] == {"fn-writes": 3, "fn-calls": 4, "parse-errors": 1}
+    assert p.counters["w"] == {"fn-writes": 3, "fn-calls": 4, "parse-errors": 1, "map-input-in": 4}
 
 
 @pytest.mark.parametrize(("fmt", "compression", "ext"), [("txt", "zstd", ".txt.zst"), ("lst", None, ".lst"), ("txt", None, ".txt")])
@@ -217,12 +217,105 @@ def test_map_records_and_freq(spark, tmp_path):
             yield ("total", self.n)
 
     p = Pipeline(spark, str(tmp_path))
-    t = p.read("in", spark.createDataFrame([("ori",)] * 3 + [("adi",)] * 2, "value string").coalesce(1))
+    t = p.read("in", spark.createDataFrame([("kay",)] * 3 + [("lou",)] * 2, "value string").coalesce(1))
     out = t.map("m", Flush, "value string, n int").df.collect()
-    assert sorted((r.value, r.n) for r in out) == sorted([("oria", 1)] * 3 + [("adia", 1)] * 2 + [("total", 5)])
+    assert sorted((r.value, r.n) for r in out) == sorted([("kaya", 1)] * 3 + [("loua", 1)] * 2 + [("total", 5)])
     p.freq_map("f", t.df, "value")
-    assert {r.key: r.n for r in p.find_freq_map("f").collect()} == {"ori": 3, "adi": 2}
+    assert {r.key: r.n for r in p.find_freq_map("f").collect()} == {"kay": 3, "lou": 2}
     with pytest.raises(PipelineError):
         p.freq_map("f", t.df, "value")
     with pytest.raises(KeyError):
         p.find_freq_map("none")
+
+
+def test_nested_files_and_headers(spark, tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "x.txt").write_text("h\n1\n2\n")
+    (tmp_path / "a" / "b" / "y.txt").write_text("h\n3\n")
+    for kw in ({"skip_header": 1}, {"skip_header": 1, "with_position": True}):
+        assert sorted(r.value for r in files.read_text(spark, f"{tmp_path}/a/**", **kw).collect()) == ["1", "2", "3"]
+    assert files.read_text(spark, f"{tmp_path}/a/**").count() == 5
+
+
+def test_positions_over_splits(spark, tmp_path):
+    lines = [f"line {k} " + "x" * (k % 97) for k in range(20_000)]
+    (tmp_path / "big.txt").write_text("\n".join(lines) + "\n")
+    with gzip.open(tmp_path / "small.txt.gz", "wt") as f:
+        f.write("head\na\r\nb\n")
+    key = "spark.sql.files.maxPartitionBytes"
+    was = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "64k")
+        df = files.read_text(spark, [f"{tmp_path}/big.txt", f"{tmp_path}/small.txt.gz"], skip_header=1, with_position=True)
+        got = df.collect()
+        assert files.read_text(spark, f"{tmp_path}/big.txt").rdd.getNumPartitions() > 10
+    finally:
+        spark.conf.set(key, was)
+    assert {(r.pos, r.value) for r in got if r.file.endswith("big.txt")} == {(k - 1, x) for k, x in enumerate(lines) if k}
+    assert sorted((r.pos, r.value) for r in got if r.file.endswith(".gz")) == [(0, "a"), (1, "b")]
+
+
+def test_csv_rows_of_several_lines(spark, tmp_path):
+    (tmp_path / "m.csv").write_text('id,note\n1,"two\nlines, and ""quotes"""\n\n2,plain\r\n"3\n","x"\n')
+    got = files.read_csv_rows(spark, str(tmp_path / "m.csv"), header=True).orderBy("pos").collect()
+    assert [r.fields for r in got] == [["1", 'two\nlines, and "quotes"'], ["2", "plain"], ["3\n", "x"]]
+    assert [r.pos for r in got] == [0, 1, 2]
+
+
+@pytest.mark.parametrize(("fmt", "compression"), [("txt", None), ("txt", "gzip"), ("txt", "zstd"), ("lst", None)])
+def test_files_end_by_size_and_records(spark, tmp_path, fmt, compression):
+    rows = spark.createDataFrame([(f"{k:099d}",) for k in range(100)], "value string")
+    unpack = (lambda b: [bytes(r) for r in lst.Decoder(b).records()]) if fmt == "lst" else lambda b: files.decompress(b).split(b"\n")[:-1]
+    for name, kw, most in (("size", {"max_bytes": 1000}, 11), ("records", {"max_records": 7}, 7)):
+        p = Pipeline(spark, str(tmp_path / name))
+        p.read("in", rows).with_mod_n(1, F.lit(0)).write("t", fmt, compression, **kw)
+        assert p.run()
+        got = [unpack(v) for v in shards(tmp_path / name / "t").values()]
+        assert max(map(len, got)) <= most and len(got) >= 100 // most
+        assert sorted(sum(got, [])) == [f"{k:099d}".encode() for k in range(100)]
+
+
+def test_hot_shard_in_pieces_and_levels(spark, tmp_path):
+    p = Pipeline(spark, str(tmp_path))
+    p.read("in", spark.range(1000).select(F.col("id").cast("string").alias("value"))).with_custom(F.lit("all/in")).write("t", compression="gzip", level=9, pieces=4)
+    assert p.run()
+    got = shards(tmp_path / "t")
+    assert 1 < len(got) <= 4 and all(n.startswith("all/in-00") for n in got)
+    assert sorted(int(x) for v in got.values() for x in gzip.decompress(v).split()) == list(range(1000))
+
+
+class Lookup(ShardHandler):
+    def __init__(self, counter, names):
+        self.counter, self.names = counter, names
+
+    def ask(self, r):
+        if r["v"] in self.names:
+            yield to_shard(f"found/{r['v'] % 2}", f"{r['v']}={self.names[r['v']]}")
+        else:
+            self.counter.add("not-found")
+
+
+def test_user_counters_arguments_and_routing(spark, tmp_path):
+    p = Pipeline(spark, str(tmp_path))
+    base = p.read("numbers", ints(spark, 1, 2, 2, 3, 4))
+    p.freq_map("f", base.df, "v")
+    names = {k: n for k, n in p.freq_dict("f").items() if k < 4}
+    assert names == {1: 1, 2: 2, 3: 1}
+    with pytest.raises(PipelineError):
+        p.freq_dict("f", most=2)
+    p.join("j", [base.with_mod_n(2, F.col("v")).bind("ask")], Lookup, "value string", (p.counter, names), named=True).write("out")
+
+    def split(r, low, counter):
+        counter.add("seen")
+        if r["v"] < low:
+            yield to_shard("low", str(r["v"]))
+        else:
+            yield (str(r["v"]),)
+
+    base.route("r", split, "value string", (3, p.counter)).write("routed")
+    assert p.run()
+    text = lambda n: {k: sorted(v.decode().split()) for k, v in shards(tmp_path / n).items()}
+    assert text("out") == {"found/0.txt": ["2=2", "2=2"], "found/1.txt": ["1=1", "3=1"]}
+    assert text("routed") == {"low.txt": ["1", "2", "2"], "rest.txt": ["3", "4"]}
+    assert p.counters["out"] == {"fn-writes": 4, "not-found": 1, "map-input-numbers": 5}
+    assert p.counters["routed"]["seen"] == 5 and "not-found" not in p.counters["routed"]
