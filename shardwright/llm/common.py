@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.workspace import is_local, shared_dir  # noqa: F401
+
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: The ASCII white space that ends words and is stripped from lines.
@@ -33,26 +34,6 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def is_local(master: str) -> bool:
-    """Whether executors are threads of the driver."""
-    return master == "local" or master.startswith("local[")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints and tables between stages: spark.checkpoint.dir as the cluster names it.
-
-    Where it is unset, a local session (all executors are threads of the driver, as in tests) gets a temporary folder;
-    on a cluster that is an error, because executors would each write to their own disk.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not is_local(sc.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="shardwright-"))
-    return sc.getCheckpointDir()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from those files: a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
