@@ -251,3 +251,12 @@ def delta_encode(values: Column) -> Column:
         return s.map(lambda v: None if v is None else delta16([int(x) for x in v]))
 
     return run(values)
+
+
+def delta_decode(codes: Column) -> Column:
+    """undelta16() of an array column, by Arrow batches."""
+    @F.pandas_udf("array<int>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: None if v is None else undelta16([int(x) for x in v]))
+
+    return run(codes)

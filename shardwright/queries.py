@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 
 from .functions import histogram, maths, text
 from .operators import inspect, sharding
-from .operators.cogroup import ShardHandler, join_shards
+from .operators.cogroup import ShardHandler, join_shards, to_shard
+from .operators.pipeline import Pipeline
+from .operators.workspace import shared_dir
 from .plang import compile_predicate
-from .sources import files
+from .sources import files, lst
 from .streaming import counters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,12 +188,12 @@ def as_of_last(spark, sf_dir):
 # ---- parsing
 
 
-@query("""SELECT count(*) AS fn_calls, count(*) FILTER (v IS NULL) AS parse_errors, CAST(coalesce(sum(v), 0) AS BIGINT) AS total
- FROM (SELECT TRY_CAST(w AS BIGINT) AS v FROM (SELECT unnest(regexp_extract_all(text, '[0-9A-Za-z]+')) AS w FROM documents) WHERE length(w) <= 12)""")
+@query("""SELECT count(*) AS fn_calls, count(*) FILTER (v IS NULL) AS parse_errors, CAST(coalesce(sum(v), 0) AS VARCHAR) AS total
+ FROM (SELECT CASE WHEN regexp_full_match(w, '[0-9]+') THEN TRY_CAST(w AS BIGINT) END AS v FROM (SELECT unnest(regexp_extract_all(text, '[0-9A-Za-z]+')) AS w FROM documents))""")
 def parse_errors_counter(spark, sf_dir):
-    w = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("([0-9A-Za-z]+)"), 1)).alias("w")).where(F.length("w") <= 12)
+    w = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("([0-9A-Za-z]+)"), 1)).alias("w"))
     v = w.select(text.parse_int(F.col("w")).alias("v"))
-    return v.agg(F.count(F.lit(1)).alias("fn_calls"), F.count_if(F.col("v").isNull()).alias("parse_errors"), F.coalesce(F.sum("v"), F.lit(0)).alias("total"))
+    return v.agg(F.count(F.lit(1)).alias("fn_calls"), F.count_if(F.col("v").isNull()).alias("parse_errors"), F.coalesce(F.sum(F.col("v").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("total"))
 
 
 @query("SELECT CASE WHEN json_exists(props, '$.k') THEN 'shard0' ELSE 'shard1' END AS shard, count(*) AS cnt FROM events GROUP BY 1")
@@ -261,9 +264,17 @@ def plang_not_equal(spark, sf_dir):
     return _where(nested_orders(spark, sf_dir), "lines.returnflag != 'R'").select("o_orderkey")
 
 
-@query("SELECT p_partkey FROM part WHERE regexp_full_match(p_type, '.*(STEEL|BRASS)') AND NOT regexp_full_match(p_brand, 'Brand')")
+@query("SELECT p_partkey FROM part WHERE regexp_full_match(p_type, '(ECO|STA).*') AND NOT regexp_full_match(p_brand, 'Brand#1.?') AND NOT regexp_full_match(p_type, 'MED')")
 def plang_rlike(spark, sf_dir):
-    return _where(table(spark, sf_dir, "part"), "p_type RLIKE '.*(STEEL|BRASS)' and not p_brand regexp \"Brand\"").select("p_partkey")
+    """The whole text has to match."""
+    return _where(table(spark, sf_dir, "part"), "p_type RLIKE '(ECO|STA).*' and not p_brand regexp \"Brand#1.?\" and not p_type rlike 'MED'").select("p_partkey")
+
+
+@query("SELECT p_partkey, price FROM (SELECT p_partkey, CAST(p_retailprice AS DECIMAL(12, 2)) AS price FROM part) WHERE price > 1000.25 AND price <= 1500.75 AND price <> 1200.5")
+def plang_decimal(spark, sf_dir):
+    """Decimals keep their fraction."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").cast("decimal(12,2)").alias("price"))
+    return _where(p, "price > 1000.25 and price <= 1500.75 and price != 1200.5")
 
 
 @query("SELECT o_orderkey FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey) AND o_orderstatus <> 'P'")
@@ -425,6 +436,14 @@ def deltas(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderkey") - F.coalesce(F.lag("o_orderkey").over(w), F.lit(0))).alias("gap"))
 
 
+@query("SELECT DISTINCT o_custkey, o_orderkey FROM orders")
+def delta_round_trip(spark, sf_dir):
+    """The codes of delta_encode, decoded."""
+    c = delta_encode(spark, sf_dir)
+    keys = c.select("o_custkey", "high", F.explode(maths.delta_decode(F.col("code"))).alias("low"))
+    return keys.select("o_custkey", (F.shiftleft("high", 15) + F.col("low")).alias("o_orderkey"))
+
+
 @query()
 def delta_encode(spark, sf_dir):
     """Codes hold 16 bits, of which doubling may take one: keys go by the part above 15 bits, and each (customer, high part) has its own code."""
@@ -441,10 +460,10 @@ def haversine_length(spark, sf_dir):
     return table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.round(F.sum(d), 2).alias("metres"))
 
 
-@query("SELECT o_orderkey, CAST(length(bin(o_orderkey)) - 1 AS INTEGER) AS top_bit, CAST(bit_count(o_orderkey) AS INTEGER) AS ones, CASE WHEN o_orderkey <= 1 THEN 1 ELSE CAST(1 AS BIGINT) << CAST(length(bin(o_orderkey - 1)) AS INTEGER) END AS pow2 FROM orders WHERE o_orderkey > 0")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey = 0 THEN -1 ELSE CAST(length(bin(o_orderkey)) - 1 AS INTEGER) END AS top_bit, CAST(bit_count(o_orderkey) AS INTEGER) AS ones, CASE WHEN o_orderkey <= 1 THEN 1 ELSE CAST(1 AS BIGINT) << CAST(length(bin(o_orderkey - 1)) AS INTEGER) END AS pow2 FROM orders")
 def bit_functions(spark, sf_dir):
     k = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").where(k > 0).select(k, maths.log2_floor(k).alias("top_bit"), F.bit_count(k).alias("ones"), maths.next_power_of_2(k).alias("pow2"))
+    return table(spark, sf_dir, "orders").select(k, maths.log2_floor(k).alias("top_bit"), F.bit_count(k).alias("ones"), maths.next_power_of_2(k).alias("pow2"))
 
 
 @query("SELECT doc_id, octet_length(encode(text)) - octet_length(encode(replace(text, 'e', ''))) AS es, len(string_split(text, chr(10))) - CASE WHEN text LIKE '%' || chr(10) OR text = '' THEN 1 ELSE 0 END AS n_lines FROM documents")
@@ -475,11 +494,11 @@ def top_per_customer(spark, sf_dir):
     return table(spark, sf_dir, "orders").withColumn("rn", F.row_number().over(w)).where("rn <= 3").select("o_custkey", "o_orderkey", "rn")
 
 
-@query("SELECT o_orderkey, l_linenumber AS n, l_returnflag AS flag FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 3 = 0")
+@query("SELECT o_orderkey, l_linenumber AS n, l_returnflag AS flag FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
 def explode_json_array(spark, sf_dir):
     """Printed Python lists of records, cleaned, parsed and flattened with their parent's key."""
     line = lambda x: F.format_string("{'n': %d, 'flag': '%s', 'path': None}", x.linenumber, x.returnflag)
-    dirty = nested_orders(spark, sf_dir).where("o_orderkey % 3 = 0 and lines is not null").select("o_orderkey", F.concat(F.lit("["), F.array_join(F.transform("lines", line), ", "), F.lit("]")).alias("j"))
+    dirty = nested_orders(spark, sf_dir).where("lines is not null").select("o_orderkey", F.concat(F.lit("["), F.array_join(F.transform("lines", line), ", "), F.lit("]")).alias("j"))
     x = F.explode(F.from_json(text.python_json(F.col("j")), "array<struct<n: int, flag: string>>"))
     return dirty.select("o_orderkey", x.alias("x")).select("o_orderkey", "x.n", "x.flag")
 
@@ -535,14 +554,120 @@ def line_hash_shards(spark, sf_dir):
  FROM events, (SELECT unnest(range(6)) AS k) GROUP BY 1, 2""")
 def stream_sliding_counts(spark, sf_dir):
     """The sliding counter as a stream that reads the events as files, run until it has seen all of them."""
-    import uuid
-
     stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    name = f"sliding_{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/sliding-{uuid.uuid4().hex}"
     counts = counters.stream_counts(stream, "ts", ["event_type"], 6, 3600)
-    writer = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True)
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        writer = writer.option("checkpointLocation", f"{base}/{name}")
-    writer.start().awaitTermination()
-    return spark.table(name).select(F.unix_seconds("end").alias("end_s"), "event_type", "total")
+
+    def keep(df, batch):
+        df.write.mode("overwrite").parquet(f"{at}/result")
+
+    counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/result").select(F.unix_seconds("end").alias("end_s"), "event_type", "total")
+
+
+# ---- files: written to the shared folder and read again
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+
+
+@query("SELECT c_custkey, c_name, c_mktsegment AS shard FROM customer")
+def text_sink_round_trip(spark, sf_dir):
+    """Named shards as gzip text, read with all files below the folder."""
+    p = Pipeline(spark, _folder(spark))
+    line = F.concat_ws("|", "c_custkey", "c_name").alias("value")
+    p.read("customers", table(spark, sf_dir, "customer").select(line, F.concat(F.lit("by/segment/"), "c_mktsegment").alias("to"))).with_custom(F.col("to")).write("out", compression="gzip")
+    p.run()
+    back = files.read_text(spark, f"{p.root}/out/by/**").select(F.split("value", "[|]").alias("f"), F.regexp_extract("file", "([^/]*)[.]txt[.]gz$", 1).alias("shard"))
+    return back.select(F.col("f")[0].cast("bigint").alias("c_custkey"), F.col("f")[1].alias("c_name"), "shard")
+
+
+@query("SELECT CAST(o_orderkey % 3 AS INTEGER) AS shard, o_orderkey, o_orderstatus FROM orders")
+def zstd_sink_round_trip(spark, sf_dir):
+    """Numbered shards as zstd text whose files end by raw size; read by their content."""
+    p = Pipeline(spark, _folder(spark))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws(",", "o_orderkey", "o_orderstatus").alias("value"))
+    p.read("orders", o).with_mod_n(3, F.col("o_orderkey")).write("out", compression="zstd", max_bytes=1 << 20)
+    p.run()
+    back = files.read_any(spark, f"{p.root}/out/*.zst").select(F.split("value", ",").alias("f"), F.regexp_extract("file", "shard-([0-9]{4})", 1).cast("int").alias("shard"))
+    return back.select("shard", F.col("f")[0].cast("bigint").alias("o_orderkey"), F.col("f")[1].alias("o_orderstatus"))
+
+
+@query("SELECT CAST(p_partkey % 4 AS INTEGER) AS shard, p_partkey, p_name FROM part")
+def lst_sink_round_trip(spark, sf_dir):
+    """Numbered shards as record files, which are limited to 500 records each."""
+    p = Pipeline(spark, _folder(spark))
+    part = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(";", "p_partkey", "p_name").alias("value"))
+    p.read("parts", part).with_mod_n(4, F.col("p_partkey")).write("out", "lst", max_records=500)
+    p.run()
+    back = lst.read_lst(spark, f"{p.root}/out/*.lst").select(F.split(F.decode("record", "utf-8"), ";").alias("f"), F.regexp_extract("file", "shard-([0-9]{4})", 1).cast("int").alias("shard"))
+    return back.select("shard", F.col("f")[0].cast("bigint").alias("p_partkey"), F.col("f")[1].alias("p_name"))
+
+
+@query("SELECT r_name AS region, CAST(row_number() OVER (PARTITION BY r_name ORDER BY n_name) - 1 AS BIGINT) AS pos, n_name AS value, CAST(7 AS BIGINT) AS meta FROM region JOIN nation ON n_regionkey = r_regionkey")
+def header_positions(spark, sf_dir):
+    """A file for each region, with a header; lines come with their positions after it."""
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.array_sort(F.collect_list("n_name")).alias("names"))
+    p = Pipeline(spark, _folder(spark))
+    p.read("regions", n.select(F.concat(F.lit("name\r\n"), F.array_join("names", "\r\n"), F.lit("\r")).alias("value"), "r_name")).with_custom(F.col("r_name")).write("out")
+    p.run()
+    back = files.read_text(spark, [files.FileSpec(f"{p.root}/out/*.txt", i64=7)], skip_header=1, with_position=True)
+    return back.select(F.regexp_extract(F.url_decode("file"), "([^/]*)[.]txt$", 1).alias("region"), "pos", "value", F.col("meta.i64").alias("meta"))
+
+
+@query("SELECT s_suppkey, s_name || chr(10) || '\"' || s_nationkey || '\"' AS note FROM supplier")
+def csv_rows_round_trip(spark, sf_dir):
+    """Quoted fields that hold line feeds and quotes."""
+    p = Pipeline(spark, _folder(spark))
+    note = F.concat(F.lit('"'), "s_name", F.lit('\n""'), F.col("s_nationkey").cast("string"), F.lit('"""'))
+    p.read("suppliers", table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.col("s_suppkey").cast("string"), F.lit(","), note).alias("value"))).with_mod_n(2, F.col("s_suppkey")).write("out")
+    p.run()
+    f = files.read_csv_rows(spark, f"{p.root}/out/*.txt").select("fields")
+    return f.select(F.col("fields")[0].cast("bigint").alias("s_suppkey"), F.col("fields")[1].alias("note"))
+
+
+@query("""SELECT 'http://p/' || page_id AS uri, regexp_replace(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[^\\p{L}0-9_\\p{P}\\s]', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS body, CAST(0 AS BIGINT) AS bad_lines FROM pages""")
+def wet_archive_pages(spark, sf_dir):
+    """Pages as an archive of extracted text, read record by record."""
+    p = Pipeline(spark, _folder(spark))
+    head = F.concat(F.lit("WARC/1.0\r\nWARC-Type: conversion\r\nWARC-Target-URI: http://p/"), F.col("page_id").cast("string"), F.lit("\r\nContent-Type: text/plain\r\n\r\n"))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(head, F.regexp_replace("html", "<[^>]*>", " "), F.lit("\r\n\r\n")).alias("value"))
+    p.read("pages", pages).with_mod_n(3, F.col("page_id")).write("out", compression="gzip")
+    p.run()
+    return files.read_wet(spark, f"{p.root}/out/*.gz").select("uri", "body", "bad_lines")
+
+
+class _Names(ShardHandler):
+    """Looks names up and counts what it does not find."""
+
+    def __init__(self, counter):
+        self.counter = counter
+
+    def start(self, shard):
+        self.names: dict = {}
+        return iter(())
+
+    def name(self, r):
+        self.names[r["k"]] = r["name"]
+
+    def line(self, r):
+        if r["k"] in self.names:
+            yield to_shard(r["flag"], self.names[r["k"]])
+        else:
+            self.counter.add("part-not-found")
+
+
+@query("""SELECT 'lines/' || l_returnflag AS what, count(*) AS n FROM lineitem JOIN (SELECT p_partkey FROM part WHERE p_size <= 25) ON l_partkey = p_partkey GROUP BY 1
+ UNION ALL SELECT 'part-not-found', count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 25)
+ UNION ALL SELECT 'map-input-parts', count(*) FROM part WHERE p_size <= 25 UNION ALL SELECT 'map-input-lines', count(*) FROM lineitem""")
+def handler_counters_and_routes(spark, sf_dir):
+    """A join by handlers that route records to shards of their choice and count misses."""
+    p = Pipeline(spark, _folder(spark))
+    parts = p.read("parts", table(spark, sf_dir, "part").where("p_size <= 25").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name"))).with_mod_n(5, F.col("k"))
+    lines = p.read("lines", table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("k"), F.concat(F.lit("lines/"), "l_returnflag").alias("flag"))).with_mod_n(5, F.col("k"))
+    p.join("named", [parts.bind("name"), lines.bind("line")], _Names, "value string", (p.counter,), named=True).write("out")
+    p.run()
+    written = files.read_text(spark, f"{p.root}/out/lines/*.txt").groupBy(F.concat(F.lit("lines/"), F.regexp_extract("file", "([^/]*)[.]txt$", 1)).alias("what")).agg(F.count(F.lit(1)).alias("n"))
+    counts = [(k, n) for k, n in p.counters["out"].items() if k != "fn-writes"]
+    return written.unionByName(spark.createDataFrame(counts, "what string, n bigint"))

@@ -198,3 +198,20 @@ def wet_pages(df: DataFrame, file: str = "file", text: str = "content") -> DataF
     uri = F.regexp_extract("r", r"WARC-Target-URI:\s*(\S+)", 1)
     body = F.regexp_replace(F.regexp_extract("r", r"(?s)\r?\n\r?\n(.*)$", 1), r"[^\w\p{L}\p{P}\s]", " ")
     return parts.select(F.col(file).alias("file"), uri.alias("uri"), F.regexp_replace(body, r"^\s+|\s+\z", "").alias("body"))
+
+
+def read_wet(spark: SparkSession, paths, mark: str = "WARC/1.0\r\n") -> DataFrame:
+    """(file, uri, body, bad_lines) of the conversion records of web text archives, read record by record.
+
+    A record is what lies between two version lines (`mark`), so that no archive is held whole and plain ones are split.
+    Lines that are not UTF-8 are dropped and counted; characters other than letters, digits, punctuation and white
+    space become spaces.
+    """
+    r = spark.read.option("lineSep", mark).text(paths).select("value", F.col("_metadata.file_path").alias("file")).where(F.col("value").contains("WARC-Type: conversion"))
+    at = F.locate("\r\n\r\n", F.col("value"))
+    r = r.where(at > 0).select("file", F.expr("substring(value, 1, locate('\\r\\n\\r\\n', value))").alias("head"), F.split(F.expr("substring(value, locate('\\r\\n\\r\\n', value) + 4)"), "\n").alias("ls"))
+    r = r.where(F.col("head").rlike(r"(?m)^WARC-Type: *conversion"))
+    good = F.filter("ls", F.is_valid_utf8)
+    body = F.regexp_replace(F.array_join(good, "\n"), r"[^\w\p{L}\p{P}\s]", " ")
+    uri = F.regexp_extract("head", r"WARC-Target-URI:\s*(\S+)", 1)
+    return r.select("file", uri.alias("uri"), F.regexp_replace(body, r"^\s+|\s+\z", "").alias("body"), (F.size("ls") - F.size(good)).cast("bigint").alias("bad_lines"))
