@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, meet_hot
@@ -77,7 +78,7 @@ def _banded(nodes: DataFrame, shingle: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, least: float, shingle: int) -> DataFrame:
-    """Those (a, b) of pairs (a, b, ta, tb) whose texts are of similarity `least` or more."""
+    """Those (a, b) of pairs (a, b, ta, tb) whose texts are of similarity `least` or more. Pairs lie sorted by a, whose shingles are made once."""
 
     def run(batches):
         import pyarrow as pa
@@ -91,46 +92,82 @@ def _verified(pairs: DataFrame, least: float, shingle: int) -> DataFrame:
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+def _to_verify(rest: DataFrame, hubs: int, turn: int, least: float, known: DataFrame | None) -> DataFrame:
+    """Pairs (a > b, with their group) of the members of each group with its first `hubs` members in the order of this turn.
+
+    known: (node, root) of nodes that are linked already; pairs of one root need no look.
+    """
+    order = F.struct(F.xxhash64("node", F.col("band") % ORDERS, F.lit(turn)).alias("x"), F.col("node").alias("hub"), F.col("n").alias("hub_n"))
+    if hubs == 1:
+        first = rest.groupBy("band", "key").agg(F.min(order).alias("o")).select("band", "key", "o.hub", "o.hub_n")
+    else:
+        w = Window.partitionBy("band", "key").orderBy("o")
+        first = rest.withColumn("o", order).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= hubs).select("band", "key", "o.hub", "o.hub_n")
+    if known is not None:
+        roots = known.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+        first = first.join(roots, "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub"))
+        rest = rest.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = cut(first)
+    near = rest.join(F.broadcast(first) if first.count() <= BROADCAST_ROWS else first, ["band", "key"]).where("node <> hub")
+    if known is not None:
+        near = near.where("root <> hub_root")
+    # Sets whose sizes differ more cannot be similar enough.
+    near = near.where(F.least("n", "hub_n") >= F.greatest("n", "hub_n") * (least - 1e-9))
+    return near.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
+
+
+def _left(rest: DataFrame, hubs: int, turn: int) -> DataFrame:
+    """The groups without the hubs of this turn, which have been compared with all members; groups of one are done."""
+    w = Window.partitionBy("band", "key").orderBy(F.xxhash64("node", F.col("band") % ORDERS, F.lit(turn)), "node")
+    left = rest.withColumn("nth", F.row_number().over(w)).where(F.col("nth") > hubs).drop("nth")
+    many = left.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("band", "key")
+    return left.join(many, ["band", "key"], "left_semi")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Groups of texts of shingle similarity `least` or more: (doc_id, component_id: smallest id reachable, itself included).
 
-    One row for each row of docs.  Equal texts are one node.  Nodes that share a band are compared with one member of
-    the band's group, not pairwise, so the pairs grow with the group and not with its square; bands choose by
-    different orders.  Every pair is decided by its whole shingle sets.  Null text: empty; texts without words are
-    equal.  A null id is linked but is never the smallest; a component of only null ids has a null component.
+    One row for each row of docs.  Equal texts are one node.  Two texts of similarity `least` share one of BANDS bands
+    with a probability of 0.9996 at 0.8.  In a band's group all members are compared with the first of it, in the next turn what is not
+    linked yet with the next ones, of which there are more each turn, until every two members of every group are in one
+    component or have been compared: no link of a group is lost, and groups of near copies settle in the first turns.
+    more: a function of the rows (node, t) that gives further pairs (a > b) to look at.  Every pair is decided by its whole shingle sets.
+
+    Null text: empty; texts without words are equal.  A null id is linked but is never the smallest; a component of only null
+    ids has a null component.  Rows repeating an id stay separate rows.  An empty table gives no rows; other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("t")).withColumn("node", F.xxhash64("t"))
     sized = cut(_banded(rows.select("node", "t"), shingle).dropDuplicates(["node"]))
-    # One row for each band; its group is compared with the member that comes first in the band's order.
     keys = sized.select("node", "n", F.posexplode("bands").alias("band", "key"))
-    keys = keys.withColumn("o", F.struct(F.xxhash64("node", F.col("band") % ORDERS).alias("x"), F.col("node").alias("hub"), F.col("n").alias("hub_n")))
-    met = cut(keys.groupBy("band", "key").agg(F.min("o").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1").select("band", "key", "hub.hub", "hub.hub_n"))
-    small = met.count() <= BROADCAST_ROWS
-    near = keys.select("node", "n", "band", "key").join(F.broadcast(met) if small else met, ["band", "key"]).where("node <> hub")
-    # Sets whose sizes differ more cannot be similar enough.
-    near = near.where((F.least("n", "hub_n") >= F.greatest("n", "hub_n") * (least - 1e-9)))
-    pairs = cut(near.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct())
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = cut(wanted)
-    small = wanted.count() <= BROADCAST_ROWS
-    texts = cut(rows.select("node", "t").join(F.broadcast(wanted) if small else wanted, "node", "left_semi").dropDuplicates(["node"]))
-    with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a")
-    with_both = with_a.join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
-    edges = cut(_verified(with_both, least, shingle))
-    comps = connected_components(edges)
+    met = cut(keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("band", "key"))
+    rest = cut(keys.join(F.broadcast(met) if met.count() <= BROADCAST_ROWS else met, ["band", "key"]))
+    told = cut(more(rows.select("node", "t"))) if more is not None else None
+    wanted = rest.select("node")
+    if told is not None:
+        wanted = wanted.unionByName(told.select(F.col("a").alias("node"))).unionByName(told.select(F.col("b").alias("node")))
+    wanted = cut(wanted.distinct())
+    texts = rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "node", "left_semi")
+    texts = cut(texts.select("node", "t").dropDuplicates(["node"]))
+
+    def links(pairs):
+        with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a")
+        return cut(_verified(with_a.join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b"), least, shingle))
+
+    edges, known, turn, hubs = None, None, 0, 1
+    while turn == 0 or rest.limit(1).count():
+        pairs = cut(_to_verify(rest, hubs, turn, least, known))
+        pairs = pairs.unionByName(told).distinct() if told is not None else pairs
+        found, told = links(pairs), None
+        edges = found if edges is None else edges.unionByName(found)
+        known = cut(connected_components(edges))
+        rest = _left(rest, hubs, turn).join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        # Groups whose members are all linked to each other are done.
+        apart = rest.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "key")
+        rest = cut(rest.drop("root").join(apart, ["band", "key"], "left_semi"))
+        turn, hubs = turn + 1, hubs * 4
     ids = cut(rows.select("id", "node"))
     lows = ids.groupBy("node").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("rows"))
-    rooted = lows.join(comps, "node", "left").select("node", "low", "rows", F.coalesce("root", "node").alias("root"))
+    rooted = lows.join(known, "node", "left").select("node", "low", "rows", F.coalesce("root", "node").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     by_node = cut(rooted.join(lowest, "root").select("node", "rows", "component_id"))
     return meet_hot(ids, by_node, "node", "rows", ids.count()).select(F.col("id").alias(id_col), "component_id")
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """docs without those that have a smaller id in their group: one document of each group stays, all columns kept.
-
-    Rows with a null id are kept.  Rows repeating an id are one document and stay or go together.
-    """
-    c = near_copies(docs, id_col, text_col, shingle, least)
-    gone = c.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from .common import cut, meet_hot
 from .components import connected_components
+from .near_copies import near_copies
 
 #: Fingerprints whose variants one task makes.
 TASK_NODES = 20_000
@@ -101,11 +102,27 @@ def simhash_clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
+def ball_pairs(rows: DataFrame, shingle: int, radius: int) -> DataFrame:
+    """Pairs (a > b) of nodes that ball hashing finds among rows (node, t): of one fingerprint with its smallest node, and the
+    smallest nodes of fingerprints within `radius` bits that are linked."""
+    fps = cut(fingerprints(rows, "node", "t", shingle).distinct())
+    low = cut(fps.groupBy("fp").agg(F.min("id").alias("low")))
+    same = fps.join(low, "fp").where("id <> low").select(F.col("id").alias("x"), F.col("low").alias("y"))
+    near = ball_edges(low.select("fp"), radius)
+    near = near.join(low.select(F.col("fp").alias("a"), F.col("low").alias("x")), "a").join(low.select(F.col("fp").alias("b"), F.col("low").alias("y")), "b").select("x", "y")
+    return same.unionByName(near).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, radius: int = 2) -> DataFrame:
     """docs without those that have a smaller id in their group: one document of each group stays, all columns kept.
 
-    Rows with a null id are kept.  Rows repeating an id are one document and stay or go together.
+    Groups are linked by pairs of shingle similarity `least` or more.  Ball hashing finds the closest pairs; those beyond
+    its radius, which 64 bits cannot tell from others (at a similarity of 0.8 about ten bits differ), come from bands (near_copies).
+    Every pair is verified by its whole shingle sets, and kept only if they are similar enough.
+
+    Null texts are empty and equal to each other.  Rows with a null id are kept.  Rows repeating an id are one document
+    and stay or go together.  An empty table gives no rows.
     """
-    c = simhash_clusters(docs, id_col, text_col, shingle, radius)
+    c = near_copies(docs, id_col, text_col, shingle, least, lambda rows: ball_pairs(rows, shingle, radius))
     gone = c.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from shardwright.llm import near_copies
+from shardwright.llm import near_copies, simhash
 
 from test_text_operators import WORD, brute_groups, docs, odd_rows
 
@@ -34,7 +34,7 @@ def test_groups_are_those_of_brute_force(spark):
     got = near_copies.near_copies(df).collect()
     assert sorted(map(str, zip([i for i, _ in rows], want, strict=True))) == sorted(str((g.doc_id, g.component_id)) for g in got)
     assert near_copies.near_copies(df.limit(0)).collect() == []
-    assert {x.doc_id for x in near_copies.drop_near_copies(df).collect()} - {None} == set(want) - {None}
+    assert {x.doc_id for x in simhash.drop_near_duplicates(df).collect()} - {None} == set(want) - {None}
 
 
 def test_stage_drops_an_edited_copy_and_keeps_a_looser_one(spark):
@@ -42,3 +42,29 @@ def test_stage_drops_an_edited_copy_and_keeps_a_looser_one(spark):
     near, loose = edited(r, 200, 2), edited(r, 200, 20)
     left = corpus_pipeline.near_duplicates(spark, docs(spark, enumerate([*near, *loose])), "").collect()
     assert sorted(x.doc_id for x in left) == [0, 2, 3]
+
+
+def test_no_link_of_a_group_is_lost(spark, monkeypatch):
+    """Groups of texts that are mostly not similar enough: every pair that shares a band is compared or in one component already."""
+    r = random.Random(13)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for k in range(60):  # one family: all share a long passage, some are near copies of each other
+        tail = [f"t{k // 2}_{j}" for j in range(25)]
+        tail[k % 2] = f"own{k}"
+        rows.append((k, " ".join(base + tail)))
+    r.shuffle(rows)
+    sets = [brute_set(t) for _, t in rows]
+    want = brute_groups([i for i, _ in rows], lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
+    assert len(set(want)) == 30
+    got = {g.doc_id: g.component_id for g in near_copies.near_copies(docs(spark, rows)).collect()}
+    assert [got[i] for i, _ in rows] == want
+
+
+def test_ball_pairs_link_equal_and_close_fingerprints(spark):
+    texts = ["a b c d e f g h"] + [f"w{k} " * 3 + "x y z" for k in range(5)] + ["A B c d e f g h"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "node long, t string")
+    fps = [simhash.fingerprint(t.encode(), 5) for t in texts]
+    got = {(p.a, p.b) for p in simhash.ball_pairs(rows, 5, 2).collect()}
+    want = brute_groups(range(len(texts)), lambda i, j: bin(fps[i] ^ fps[j]).count("1") <= 2)
+    assert brute_groups(range(len(texts)), lambda i, j: (max(i, j), min(i, j)) in got) == want and (6, 0) in got
