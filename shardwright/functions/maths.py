@@ -129,7 +129,7 @@ def subtract(a: Column, b: Column) -> Column:
 
 
 def scale(a: Column, k) -> Column:
-    return F.transform(a, lambda x: x * F.lit(k))
+    return F.transform(a, lambda x: x * (k if isinstance(k, Column) else F.lit(k)))
 
 
 def mul_components(a: Column, b: Column) -> Column:
@@ -158,6 +158,39 @@ def largest_abs_component(a: Column) -> Column:
     return (F.array_position(m, F.array_max(m)) - 1).cast("int")
 
 
+def component_order(a: Column) -> Column:
+    """Indices from 0 of the components by absolute value, smallest first; equal ones by index."""
+    pairs = F.transform(a, lambda x, i: F.struct(F.abs(x).alias("size"), i.alias("at")))
+    return F.transform(F.array_sort(pairs), lambda p: p["at"])
+
+
+def unit_orthogonal(a: Column) -> Column:
+    """A unit vector at a right angle to one of two components (turned by 90 degrees) or of three (crossed with the axis that comes before its largest component)."""
+    k = largest_abs_component(a)
+    axis = F.array(*((F.when(F.pmod(k + 2, F.lit(3)) == i, 1.0).otherwise(0.0)) for i in range(3)))
+    return normalize(F.when(F.size(a) == 2, F.array(-F.get(a, F.lit(1)), F.get(a, F.lit(0)))).otherwise(cross(a, axis)))
+
+
+def each(a: Column, name: str) -> Column:
+    """floor, ceil, sqrt, abs, rint (half to even) or iround (half away from zero) of every component."""
+    fs = {"floor": F.floor, "ceil": F.ceil, "sqrt": F.sqrt, "abs": F.abs, "rint": F.rint, "iround": lambda x: F.round(x).cast("bigint")}
+    return F.transform(a, lambda x: fs[name](x))
+
+
+def any_nan(a: Column) -> Column:
+    return F.exists(a, F.isnan)
+
+
+def vectors_almost_equal(a: Column, b: Column, margin: float) -> Column:
+    """Whether every two components differ by less than the margin."""
+    return F.forall(F.zip_with(a, b, lambda x, y: F.abs(x - y) < margin), lambda x: x)
+
+
+def vector_less(a: Column, b: Column) -> Column:
+    """Lexicographic order of the components."""
+    return a < b
+
+
 def det3(m: Column) -> Column:
     """Determinant of a 3 x 3 matrix: an array of three rows."""
     return dot(m[0], cross(m[1], m[2]))
@@ -190,6 +223,68 @@ def frobenius3(m: Column) -> Column:
     return F.sqrt(norm2(F.flatten(m)))
 
 
+def mat_add3(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, add)
+
+
+def mat_sub3(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, subtract)
+
+
+def mat_scale3(m: Column, k) -> Column:
+    return F.transform(m, lambda r: scale(r, k))
+
+
+def adjugate3(m: Column) -> Column:
+    """The transposed matrix of cofactors: the inverse times the determinant."""
+    return transpose3(F.array(cross(m[1], m[2]), cross(m[2], m[0]), cross(m[0], m[1])))
+
+
+def row3(m: Column, i: int) -> Column:
+    return m[i]
+
+
+def col3(m: Column, i: int) -> Column:
+    return F.array(*(m[j][i] for j in range(3)))
+
+
+def from_cols3(a: Column, b: Column, c: Column) -> Column:
+    return transpose3(F.array(a, b, c))
+
+
+def diagonal3(v: Column) -> Column:
+    return F.array(*(F.array(*(v[i] if i == j else F.lit(0.0) for j in range(3))) for i in range(3)))
+
+
+def outer3(v: Column) -> Column:
+    """The symmetric matrix of a vector's products with itself."""
+    return F.array(*(F.array(*(v[i] * v[j] for j in range(3))) for i in range(3)))
+
+
+def cross_matrix3(v: Column) -> Column:
+    """The matrix that crosses v with the vector it is applied to."""
+    zero = F.lit(0.0)
+    return F.array(F.array(zero, -v[2], v[1]), F.array(v[2], zero, -v[0]), F.array(-v[1], v[0], zero))
+
+
+def rotation3(v: Column) -> Column:
+    """The rotation about v by |v| radians."""
+    t, w = norm(v), normalize(v)
+    one = F.array(*(F.lit(1.0) for _ in range(3)))
+    return mat_add3(mat_add3(mat_scale3(outer3(w), 1 - F.cos(t)), mat_scale3(cross_matrix3(w), F.sin(t))), mat_scale3(diagonal3(one), F.cos(t)))
+
+
+def between3(v: Column, m: Column, u: Column) -> Column:
+    """v transposed times m times u."""
+    return dot(mat_vec3(m, u), v)
+
+
+def project2(m: Column, v: Column) -> Column:
+    """m as a projective map of a point of two components."""
+    t = mat_vec3(m, F.array(v[0], v[1], F.lit(1.0)))
+    return F.array(t[0] / t[2], t[1] / t[2])
+
+
 def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius: float = 6372797.560856) -> Column:
     """Distance in metres of two points in degrees."""
     half = lambda a, b: F.pow(F.sin(F.radians(b - a) * 0.5), 2)
@@ -260,3 +355,30 @@ def delta_decode(codes: Column) -> Column:
         return s.map(lambda v: None if v is None else undelta16([int(x) for x in v]))
 
     return run(codes)
+
+
+def zigzag(n: Column) -> Column:
+    """Signed 64-bit numbers as such ones that small absolute values stay small: 0, -1, 1, -2 become 0, 1, 2, 3."""
+    return F.shiftleft(n, 1).bitwiseXOR(F.shiftright(n, 63))
+
+
+def unzigzag(n: Column) -> Column:
+    return F.shiftrightunsigned(n, 1).bitwiseXOR(-n.bitwiseAND(F.lit(1).cast("bigint")))
+
+
+def varint_size(n: Column) -> Column:
+    """Bytes of an unsigned number in groups of seven bits; negative ones count as large."""
+    return F.when(n < 0, 10).when(n == 0, 1).otherwise(F.ceil((log2_floor(n) + 1) / 7)).cast("int")
+
+
+def varint(n: Column) -> Column:
+    """The number in groups of seven bits, lowest first, each but the last with its upper bit set, as binary."""
+    size = varint_size(n)
+    parts = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.call_function("shiftrightunsigned", n, (i * 7)).bitwiseAND(F.lit(127).cast("bigint")) + F.when(i < size - 1, 128).otherwise(0))
+    return F.unhex(F.array_join(F.transform(parts, lambda b: F.lpad(F.hex(b), 2, "0")), ""))
+
+
+def fixed64(n: Column) -> Column:
+    """Eight bytes, lowest first, as binary."""
+    h = F.lpad(F.hex(n), 16, "0")
+    return F.unhex(F.concat(*(F.substring(h, 15 - 2 * i, 2) for i in range(8))))

@@ -135,6 +135,69 @@ def leading_int(c: Column, default: int) -> Column:
     return F.coalesce(F.regexp_extract(c, r"^\s*([+-]?\d+)", 1).try_cast("bigint"), F.lit(default))
 
 
+def parse_uint(c: Column, bits: int = 32) -> Column:
+    """Strict base 10 without a minus; null on failure or beyond `bits` (32: bigint, 64: decimal(20,0))."""
+    n = F.when(c.rlike(r"^\s*\+?\d+\s*$"), F.trim(c).try_cast("decimal(38,0)"))
+    return F.when(n < F.lit(str(1 << bits)).cast("decimal(38,0)"), n).cast("bigint" if bits == 32 else "decimal(20,0)")
+
+
+def leading_number(c: Column, default: int, bits: int = 64, signed: bool = True, octal: bool = False) -> Column:
+    """The whole number at the start of a string, else the default; also the default where it does not fit.
+
+    octal: a leading 0 means base 8 and 0x base 16, as in C; otherwise zeros mean nothing.
+    """
+    lo, hi = (-(1 << bits - 1), 1 << bits - 1) if signed else (0, 1 << bits)
+    sign = F.when(F.regexp_extract(c, r"^\s*([+-]?)", 1) == "-", -1).otherwise(1)
+    big = lambda digits, base: F.aggregate(F.split(F.upper(digits), ""), F.lit(0).cast("decimal(38,0)"), lambda n, d: (n * base + F.instr(F.lit(_DIGITS[:base]), d) - 1).cast("decimal(38,0)"))
+    dec = F.regexp_extract(c, r"^\s*[+-]?(\d+)", 1)
+    n = F.when((dec != "") & (F.length(F.ltrim(F.lit("0"), dec)) <= 20), dec.try_cast("decimal(38,0)"))
+    if octal:
+        hexa, eight = F.regexp_extract(c, r"^\s*[+-]?0[xX]0*([0-9A-Fa-f]{1,16})", 1), F.regexp_extract(c, r"^\s*[+-]?0+([0-7]{1,22})", 1)
+        n = F.when(c.rlike(r"^\s*[+-]?0[xX][0-9A-Fa-f]"), F.when(hexa != "", big(hexa, 16))).when(eight != "", big(eight, 8)).when(c.rlike(r"^\s*[+-]?0"), F.lit(0).cast("decimal(38,0)")).otherwise(n)
+    n = n * sign
+    good = (n >= F.lit(str(lo)).cast("decimal(38,0)")) & (n < F.lit(str(hi)).cast("decimal(38,0)"))
+    kind = "bigint" if signed or bits < 64 else "decimal(20,0)"
+    return F.coalesce(F.when(good, n).cast(kind), F.lit(str(default)).cast(kind))
+
+
+def char_class(chars: str) -> str:
+    """A set of characters as a class of a regular expression."""
+    return "[" + "".join("\\" + x if not x.isalnum() else x for x in dict.fromkeys(chars)) + "]"
+
+
+def span(c: Column, chars: str) -> Column:
+    """How many characters at the start are of the set."""
+    return F.length(F.regexp_extract(c, f"^{char_class(chars)}*", 0))
+
+
+def span_not(c: Column, chars: str) -> Column:
+    """How many characters at the start are not of the set."""
+    return F.length(F.regexp_extract(c, f"^[^{char_class(chars)[1:-1]}]*", 0))
+
+
+def keep_chars(c: Column, chars: str) -> Column:
+    """The characters of the set, in order."""
+    return F.regexp_replace(c, f"[^{char_class(chars)[1:-1]}]", "")
+
+
+def find(c: Column, what: str) -> Column:
+    """Place from 0 of the first occurrence, -1 for none."""
+    return F.instr(c, F.lit(what)) - 1
+
+
+def find_last(c: Column, what: str) -> Column:
+    """Place from 0 of the last occurrence, -1 for none."""
+    at = F.instr(F.reverse(c), F.lit(what[::-1]))
+    return F.when(at == 0, -1).otherwise(F.length(c) - at + 1 - len(what))
+
+
+def split_step(c: Column, delimiter: str) -> Column:
+    """(head, rest): what stands before the first delimiter, and what after it; without one all is head and nothing rest."""
+    at = F.instr(c, F.lit(delimiter))
+    rest = F.substring(c, at + len(delimiter), F.length(c))
+    return F.struct(F.when(at > 0, F.substring(c, F.lit(1), at - 1)).otherwise(c).alias("head"), F.when(at > 0, rest).otherwise("").alias("rest"))
+
+
 def leading_double(c: Column, default: float) -> Column:
     return F.coalesce(F.regexp_extract(c, r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1).try_cast("double"), F.lit(default))
 

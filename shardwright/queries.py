@@ -565,6 +565,76 @@ def stream_sliding_counts(spark, sf_dir):
     return spark.read.parquet(f"{at}/result").select(F.unix_seconds("end").alias("end_s"), "event_type", "total")
 
 
+# ---- more functions
+
+
+@query("""WITH e AS (SELECT vec_id, [x::DOUBLE for x in embedding[1:3]] AS v FROM embeddings), k AS (SELECT *, list_position([abs(x) for x in v], list_max([abs(x) for x in v])) - 1 AS top FROM e),
+ a AS (SELECT *, [CASE WHEN (top + 2) % 3 = i THEN 1.0 ELSE 0.0 END for i in range(3)] AS x FROM k), c AS (SELECT *, [v[2] * x[3] - v[3] * x[2], v[3] * x[1] - v[1] * x[3], v[1] * x[2] - v[2] * x[1]] AS o FROM a)
+ SELECT vec_id, round(o[1] / sqrt(o[1] * o[1] + o[2] * o[2] + o[3] * o[3]), 6) + 0.0 AS o1, round(o[2] / sqrt(o[1] * o[1] + o[2] * o[2] + o[3] * o[3]), 6) + 0.0 AS o2, CAST(floor(v[1] * 10) AS BIGINT) AS low, CAST(ceil(v[2] * 10) AS BIGINT) AS high,
+ CAST(list_position([abs(x) for x in v], list_min([abs(x) for x in v])) - 1 AS INTEGER) AS least, v < [v[2], v[1], v[3]] AS before FROM c""")
+def vector_components(spark, sf_dir):
+    v = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", v.alias("v"))
+    o, ten = maths.unit_orthogonal(F.col("v")), maths.scale(F.col("v"), 10.0)
+    return e.select(
+        "vec_id", (F.round(o[0], 6) + 0.0).alias("o1"), (F.round(o[1], 6) + 0.0).alias("o2"), maths.each(ten, "floor")[0].alias("low"), maths.each(ten, "ceil")[1].alias("high"),
+        maths.component_order(F.col("v"))[0].alias("least"), maths.vector_less(F.col("v"), F.array(F.col("v")[1], F.col("v")[0], F.col("v")[2])).alias("before"),
+    )
+
+
+@query("""WITH e AS (SELECT vec_id, [x::DOUBLE for x in embedding[1:9]] AS m, sqrt(embedding[1]::DOUBLE * embedding[1] + embedding[2]::DOUBLE * embedding[2] + embedding[3]::DOUBLE * embedding[3]) AS t FROM embeddings)
+ SELECT vec_id, round(m[5] * m[9] - m[6] * m[8], 8) + 0.0 AS adj11, round(m[3] * m[8] - m[2] * m[9], 8) + 0.0 AS adj12, round(m[1] + m[1], 8) AS sum11, round(m[2] - m[4], 8) + 0.0 AS diff12, round(1 + 2 * cos(t), 6) AS turn_trace,
+ round((m[1] * m[1] + m[2] * m[2] + m[3]) / (m[7] * m[1] + m[8] * m[2] + m[9]), 4) AS px FROM e""")
+def matrix_parts(spark, sf_dir):
+    x = F.transform("embedding", lambda x: x.cast("double"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.array(*(F.slice(x, 3 * i + 1, 3) for i in range(3))).alias("m"))
+    m, t = F.col("m"), maths.transpose3(F.col("m"))
+    return e.select(
+        "vec_id", (F.round(maths.adjugate3(m)[0][0], 8) + 0.0).alias("adj11"), (F.round(maths.adjugate3(m)[0][1], 8) + 0.0).alias("adj12"), F.round(maths.mat_add3(m, t)[0][0], 8).alias("sum11"),
+        (F.round(maths.mat_sub3(m, t)[0][1], 8) + 0.0).alias("diff12"), F.round(maths.trace3(maths.rotation3(m[0])), 6).alias("turn_trace"), F.round(maths.project2(m, F.slice(m[0], 1, 2))[0], 4).alias("px"),
+    )
+
+
+@query("SELECT o_orderkey, CASE WHEN n >= 0 THEN 2 * n ELSE -2 * n - 1 END AS zz, n AS back, CAST(greatest(1, ceil(length(bin(CASE WHEN n >= 0 THEN 2 * n ELSE -2 * n - 1 END)) / 7.0)) AS INTEGER) AS size, upper(lpad(hex(o_orderkey % 128), 2, '0')) AS one FROM (SELECT o_orderkey, (o_orderkey - 3000) * 977 AS n FROM orders)")
+def integer_coders(spark, sf_dir):
+    n = ((F.col("o_orderkey") - 3000) * 977).alias("n")
+    z = table(spark, sf_dir, "orders").select("o_orderkey", n).withColumn("zz", maths.zigzag(F.col("n")))
+    return z.select("o_orderkey", "zz", maths.unzigzag(F.col("zz")).alias("back"), maths.varint_size(F.col("zz")).alias("size"), F.hex(maths.varint(F.col("o_orderkey") % 128)).alias("one"))
+
+
+@query("""SELECT o_orderkey, CAST(TRY_CAST(big AS UINTEGER) AS BIGINT) AS u32, coalesce(TRY_CAST(nullif(regexp_extract(mixed, '^[0-9]+'), '') AS BIGINT), -1) AS dec, coalesce(TRY_CAST(TRY_CAST(nullif(regexp_extract(wide, '^[0-9]+'), '') AS INTEGER) AS BIGINT), 7) AS i32
+ FROM (SELECT o_orderkey, CAST(o_orderkey * 1000003 AS VARCHAR) AS big, '00' || o_orderkey || 'x' AS mixed, (o_orderkey * 1500007) || ' rest' AS wide FROM orders)""")
+def parse_numbers_more(spark, sf_dir):
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").select(k, (k * 1000003).cast("string").alias("big"), F.concat(F.lit("00"), k.cast("string"), F.lit("x")).alias("mixed"), F.concat((k * 1500007).cast("string"), F.lit(" rest")).alias("wide"))
+    return o.select("o_orderkey", text.parse_uint(F.col("big")).alias("u32"), text.leading_number(F.col("mixed"), -1).alias("dec"), text.leading_number(F.col("wide"), 7, bits=32).alias("i32"))
+
+
+@query("""SELECT page_id, CAST(length(regexp_extract(url, '^[a-z]*')) AS INTEGER) AS letters, CAST(length(regexp_extract(url, '^[^/.]*')) AS INTEGER) AS upto, regexp_replace(url, '[^0-9]', '', 'g') AS digits, CAST(strpos(url, 'example') - 1 AS INTEGER) AS at,
+ CAST(length(url) - strpos(reverse(url), '/') AS INTEGER) AS last_slash, split_part(url, '://', 1) AS head, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages""")
+def string_ranges(spark, sf_dir):
+    u, small = F.col("url"), "abcdefghijklmnopqrstuvwxyz"
+    p = table(spark, sf_dir, "pages").select("page_id", u, text.split_step(u, "://").alias("s"))
+    return p.select("page_id", text.span(u, small).alias("letters"), text.span_not(u, "/.").alias("upto"), text.keep_chars(u, "0123456789").alias("digits"), text.find(u, "example").alias("at"), text.find_last(u, "/").alias("last_slash"), "s.head", "s.rest")
+
+
+@query("SELECT n_nationkey, n_name AS name, CAST(n_regionkey AS BIGINT) AS region, CAST(2 AS BIGINT) AS fields FROM nation")
+def xml_fields(spark, sf_dir):
+    """Paths into XML records."""
+    x = F.concat(F.lit("<nation><name>"), "n_name", F.lit("</name><region id='"), F.col("n_regionkey").cast("string"), F.lit("'/></nation>"))
+    n = table(spark, sf_dir, "nation").select("n_nationkey", x.alias("x"))
+    return n.select("n_nationkey", F.xpath_string("x", F.lit("nation/name")).alias("name"), F.xpath_long("x", F.lit("nation/region/@id")).alias("region"), F.xpath_long("x", F.lit("count(nation/*)")).alias("fields"))
+
+
+@query()
+def tuple_hashes(spark, sf_dir):
+    """XXH64 of a tuple of a number and a string."""
+    from .functions.hashing import xxh64_of
+
+    c = table(spark, sf_dir, "customer")
+    return c.select("c_custkey", xxh64_of(F.col("c_custkey"), F.col("c_name")).alias("h"))
+
+
 # ---- files: written to the shared folder and read again
 
 

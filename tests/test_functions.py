@@ -144,3 +144,44 @@ def test_inspection(spark):
     assert table[0] == {"name": "id", "type": "INTEGER", "mode": "REQUIRED"} and table[3]["mode"] == "REPEATED" and table[3]["fields"][1] == {"name": "s2", "type": "STRING", "mode": "REPEATED"}
     kept = {r.k for r in inspect.sample_by_key(spark.range(200).select(F.col("id").cast("string").alias("k")), "k", 7).collect()}
     assert kept == {str(k) for k in range(200) if (hashing.fingerprint_of(str(k).encode()) & 0xFFFFFFFF) % 7 == 0}
+
+
+def test_coders_and_tuple_hashes(spark):
+    import struct
+
+    import xxhash
+
+    from shardwright.functions import hashing, maths, text
+    from shardwright.sources.lst import read_varint
+    from shardwright.sources.lst import varint as plain
+
+    numbers = [0, 1, 127, 128, 300, 16383, 16384, 2**31, 2**53 + 1]
+    df = spark.createDataFrame([(n, f"s{n}", None if n == 1 else 1.5) for n in numbers], "n long, s string, d double")
+    got = df.select("n", maths.varint(F.col("n")).alias("v"), maths.fixed64(F.col("n")).alias("f"), maths.unzigzag(maths.zigzag(-F.col("n"))).alias("z"), hashing.xxh64_of(F.col("n"), F.col("s")).alias("h"), hashing.xxh64_of(F.col("n"), F.col("d")).alias("g")).collect()
+    for r in got:
+        assert bytes(r.v) == plain(r.n) and bytes(r.f) == struct.pack("<q", r.n) and r.z == -r.n
+        assert r.n >= 1 << 28 or read_varint(bytes(r.v), 0)[0] == r.n
+        want = xxhash.xxh64_intdigest(f"s{r.n}".encode(), xxhash.xxh64_intdigest(struct.pack("<q", r.n), hashing.FINGERPRINT_SEED))
+        assert r.h == want - (1 << 64 if want >> 63 else 0) and (r.g is None) == (r.n == 1)
+    texts = ["017x", "0x1Fz", "-08", "12", " -9", "", "x", "99999999999999999999", "4294967296", "+5"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(text.leading_number(F.col("t"), 77, octal=True).alias("o"), text.leading_number(F.col("t"), 77).alias("d"), text.leading_number(F.col("t"), 77, bits=32, signed=False).alias("u"), text.parse_uint(F.col("t"), 64).alias("w")).collect()
+    assert [r.o for r in rows] == [15, 31, 0, 12, -9, 77, 77, 77, 4294967296, 5]
+    assert [r.d for r in rows] == [17, 0, -8, 12, -9, 77, 77, 77, 4294967296, 5]
+    assert [r.u for r in rows] == [17, 0, 77, 12, 77, 77, 77, 77, 77, 5]
+    assert [r.w and int(r.w) for r in rows] == [None, None, None, 12, None, None, None, None, 4294967296, 5]
+
+
+def test_rotations_and_components(spark):
+    from shardwright.functions import maths
+
+    df = spark.createDataFrame([([0.0, 0.0, 1.5707963267948966], [[2.0, 0.0, 1.0], [0.0, 3.0, 0.0], [1.0, 0.0, 1.0]], [3.0, -1.0, 2.5])], "v array<double>, m array<array<double>>, u array<double>")
+    m, v, u = F.col("m"), F.col("v"), F.col("u")
+    r = df.select(
+        maths.mat_vec3(maths.rotation3(v), F.array(*map(F.lit, (1.0, 0.0, 0.0)))).alias("turned"), maths.mat_mul3(m, maths.adjugate3(m)).alias("det_one"), maths.det3(m).alias("det"), maths.component_order(u).alias("order"),
+        maths.dot(maths.unit_orthogonal(u), u).alias("right"), maths.norm(maths.unit_orthogonal(u)).alias("one"), maths.mat_vec3(maths.cross_matrix3(u), v).alias("crossed"), maths.cross(u, v).alias("cross"), maths.between3(u, m, v).alias("b"),
+        maths.col3(m, 2).alias("col"), maths.from_cols3(u, u, u)[1].alias("rows"), maths.any_nan(u).alias("nan"), maths.vectors_almost_equal(u, u, 1e-9).alias("same"), maths.each(u, "rint").alias("rint"), maths.each(u, "iround").alias("iround"),
+    ).first()
+    assert [round(x, 9) for x in r.turned] == [0, 1, 0] and r.order == [1, 2, 0] and abs(r.right) < 1e-12 and abs(r.one - 1) < 1e-12
+    assert r.det_one == [[r.det if i == j else 0 for j in range(3)] for i in range(3)] and r.crossed == r.cross
+    assert r.b == 1.5707963267948966 * (3.0 + 2.5) and r.col == [1.0, 0.0, 1.0] and r.rows == [-1.0] * 3 and not r.nan and r.same
+    assert r.rint == [3.0, -1.0, 2.0] and r.iround == [3, -1, 3]
