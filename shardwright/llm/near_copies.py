@@ -95,7 +95,7 @@ def _verified(pairs: DataFrame, least: float, shingle: int) -> DataFrame:
 def _to_verify(rest: DataFrame, hubs: int, turn: int, least: float, known: DataFrame | None) -> DataFrame:
     """Pairs (a > b, with their group) of the members of each group with its first `hubs` members in the order of this turn.
 
-    known: (node, root) of nodes that are linked already; pairs of one root need no look.
+    known: (node, root) of nodes that are linked already; pairs of one root, which are in one component, need no look.
     """
     order = F.struct(F.xxhash64("node", F.col("band") % ORDERS, F.lit(turn)).alias("x"), F.col("node").alias("hub"), F.col("n").alias("hub_n"))
     if hubs == 1:
@@ -124,6 +124,19 @@ def _left(rest: DataFrame, hubs: int, turn: int) -> DataFrame:
     return left.join(many, ["band", "key"], "left_semi")
 
 
+def _labels(edges: DataFrame, steps: int = 2) -> DataFrame:
+    """(node, root): of each linked node the smallest within a few links, so that the members of one star have one root.
+
+    Nodes of equal roots are in one component; it takes connected_components() to find the root of a whole component.
+    """
+    both = edges.select(F.col("a").alias("node"), "b").unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("b")))
+    out = both.groupBy("node").agg(F.least(F.min("b"), F.min("node")).alias("root"))
+    for _ in range(steps - 1):
+        next_ = out.select(F.col("node").alias("at"), F.col("root").alias("up"))
+        out = out.join(next_, F.col("root") == F.col("at")).select("node", F.col("up").alias("root"))
+    return out
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Groups of texts of shingle similarity `least` or more: (doc_id, component_id: smallest id reachable, itself included).
 
@@ -159,12 +172,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         pairs = pairs.unionByName(told).distinct() if told is not None else pairs
         found, told = links(pairs), None
         edges = found if edges is None else edges.unionByName(found)
-        known = cut(connected_components(edges))
+        known = cut(_labels(edges))
         rest = _left(rest, hubs, turn).join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        # Groups whose members are all linked to each other are done.
+        # Groups whose members have one root are done.
         apart = rest.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "key")
         rest = cut(rest.drop("root").join(apart, ["band", "key"], "left_semi"))
         turn, hubs = turn + 1, hubs * 4
+    known = cut(connected_components(edges))
     ids = cut(rows.select("id", "node"))
     lows = ids.groupBy("node").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("rows"))
     rooted = lows.join(known, "node", "left").select("node", "low", "rows", F.coalesce("root", "node").alias("root"))
