@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
-_SEGMENT = re.compile(r"<\|im_start\|>([^\n]*)\n(.*)<\|im_end\|>\n", re.S)
+_SEGMENT = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
 
 
 def escape(c):
@@ -38,9 +38,8 @@ def format_turns(conversations: DataFrame, trainable: str = "assistant") -> Data
     loss_end (the reply, without its marks; null but for trainable turns), example (0-based number; null likewise).
 
     An example is the prefix [0, end) of the formatted text with the loss mask [loss_begin, loss_end): every trainable
-    turn is one example, everything before it is context.  Prefixes share their storage, so that a conversation of n
-    turns costs n rows and not the n * n / 2 turns that written-out examples hold (expand() writes them out).  Turns
-    after the last reply are context of no example and are still formatted.
+    turn is one example, everything before it is context.  This is the first step; expand() makes the examples of it.
+    Turns after the last reply are context of no example and are still formatted.
 
     One shuffle by conversation and one sort; offsets are running sums that stream, so a conversation of any length
     needs no group in memory.  Order: turn, then role, then text (equal rows stay, nulls first).  Null text or role:
@@ -59,22 +58,31 @@ def format_turns(conversations: DataFrame, trainable: str = "assistant") -> Data
     return c.select("conv_id", "turn_no", "role", "segment", "begin", "end", F.when(is_target, loss).alias("loss_begin"), F.when(is_target, loss + F.col("b")).alias("loss_end"), "example")
 
 
-def expand(turns: DataFrame) -> DataFrame:
-    """Written-out examples of format_turns(): conv_id, example, context, target.
+def expand(turns: DataFrame, rest: bool = False) -> DataFrame:
+    """The examples of format_turns(): conv_id, example, context, target, loss_begin, loss_end (code points in context and target together).
 
-    The text grows with the square of a conversation's replies, as any written-out prefix expansion does; trainers that
-    read prefixes from format_turns() don't need it.  One conversation's prefix must fit a row.
+    Every trainable turn with the whole text before it.  rest: conversations that end otherwise have one more row of their whole
+    text as context, without example, target and mask.  Rows of a conversation lie together and in order.
+
+    The text grows with the square of a conversation's replies, as any prefix expansion does; its rows are made one by one from the
+    conversation's segments, without a join.  One conversation's text must fit a row.
     """
-    so_far = Window.partitionBy("conv_id").orderBy("turn_no").rowsBetween(Window.unboundedPreceding, -1)
-    t = turns.withColumn("context", F.array_join(F.collect_list("segment").over(so_far), ""))
-    return t.where("example is not null").select("conv_id", "example", F.coalesce("context", F.lit("")).alias("context"), F.col("segment").alias("target"))
+    order = Window.partitionBy("conv_id").orderBy("turn_no")
+    t = turns.withColumn("before", F.collect_list("segment").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    kept = F.col("example").isNotNull()
+    if rest:
+        t = t.withColumn("next", F.lead("turn_no").over(order))
+        kept = kept | F.col("next").isNull()
+    ends = F.when(F.col("example").isNull(), F.col("segment")).otherwise("")
+    context = F.concat(F.array_join("before", ""), ends)
+    return t.where(kept).select("conv_id", "example", context.alias("context"), F.when(F.col("example").isNotNull(), F.col("segment")).alias("target"), "loss_begin", "loss_end")
 
 
 def read_back(turns: DataFrame) -> DataFrame:
-    """What format_turns() holds, read from its segments and masks alone, one row for each conversation.
+    """What the examples of format_turns() hold, read from their texts and masks alone, one row for each conversation.
 
-    conv_id, n_turns, turns_sha256 (role, \\n, text, \\n of each turn), loss_chars and loss_sha256 (all text under the loss
-    mask, unescaped), formatted_chars, n_examples.  Digests are fed turn by turn: memory is one batch of segments.
+    conv_id, n_turns, turns_sha256 (role, \n, text, \n of each turn), loss_chars and loss_sha256 (the text under the mask of each
+    example, unescaped), formatted_chars, n_examples.  Turns are read from the last and longest text; memory is one batch and one text.
     """
     kind = turns.schema["conv_id"].dataType.simpleString()
 
@@ -82,32 +90,36 @@ def read_back(turns: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         none = object()
-        now, state, out = none, None, []
+        now, whole, state, out = none, "", None, []
 
         def row():
-            return (now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4], state[5])
+            n, turns_sha = 0, hashlib.sha256()
+            at = 0
+            while at < len(whole):
+                m = _SEGMENT.match(whole, at)
+                turns_sha.update(f"{unescape_role(m[1])}\n{unescape(m[2])}\n".encode())
+                n, at = n + 1, m.end()
+            return (now, n, turns_sha.hexdigest(), state[0], state[1].hexdigest(), len(whole), state[2])
 
         for b in batches:
-            for conv, segment, begin, lo, hi in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+            for conv, context, target, lo, hi in zip(*b.columns, strict=True):
+                conv, lo, hi = conv.as_py(), lo.as_py(), hi.as_py()
                 if now is none or conv != now:
                     if now is not none:
                         out.append(row())
-                    now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
-                m = _SEGMENT.fullmatch(segment)
-                role, text = unescape_role(m[1]), unescape(m[2])
-                state[0] += 1
-                state[1].update(f"{role}\n{text}\n".encode())
-                state[4] += len(segment)
+                    now, state = conv, [0, hashlib.sha256(), 0]
+                whole = context.as_py() + (target.as_py() or "")
                 if lo is not None:
-                    masked = unescape(segment[lo - begin : hi - begin])
-                    state[2] += len(masked)
-                    state[3].update(masked.encode())
-                    state[5] += 1
+                    masked = unescape(whole[lo:hi])
+                    state[0] += len(masked)
+                    state[1].update(masked.encode())
+                    state[2] += 1
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types(b))], names)
                 out = []
         if now is not none:
-            yield pa.RecordBatch.from_arrays([pa.array([row()[k]], t) for k, t in enumerate(types(b))], names)
+            last = row()
+            yield pa.RecordBatch.from_arrays([pa.array([last[k]], t) for k, t in enumerate(types(b))], names)
 
     def types(b):
         import pyarrow as pa
@@ -115,8 +127,8 @@ def read_back(turns: DataFrame) -> DataFrame:
         return [b.column(0).type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
 
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_examples"]
-    # The turns of a conversation lie together and in order: format_turns() has dealt and sorted them.
-    t = turns.select("conv_id", "segment", "begin", "loss_begin", "loss_end")
+    # The examples of a conversation lie together and in order, the whole text last.
+    t = expand(turns, rest=True).select("conv_id", "context", "target", "loss_begin", "loss_end")
     return t.mapInArrow(run, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_examples bigint")
 
 

@@ -67,6 +67,26 @@ def test_chat_examples_are_prefixes(spark):
     assert chat.read_back(chat.format_turns(df.limit(0))).collect() == []
 
 
+def test_chat_query_reads_written_out_examples(spark, monkeypatch):
+    """The digests come from examples, each with its whole context; turns after the last reply are a row of their own."""
+    roles = {1: "user assistant user assistant user", 2: "user", 3: "assistant assistant", 4: "system user assistant"}
+    df = spark.createDataFrame([(c, k, role, f"t{c}<|{k}") for c, said in roles.items() for k, role in enumerate(said.split())], "conv_id long, turn long, role string, text string")
+    seen, expand = [], chat.expand
+    monkeypatch.setattr(chat, "expand", lambda *a, **k: seen.append(expand(*a, **k)) or seen[-1])
+    got = {r.conv_id: r for r in chat.read_back(chat.format_turns(df)).collect()}
+    rows = collections.defaultdict(list)
+    for e in seen[0].collect():
+        rows[e.conv_id].append(e)
+    for c, said in roles.items():
+        segments = [f"<|im_start|>{role}\nt{c}<\\|{k}<|im_end|>\n" for k, role in enumerate(said.split())]
+        want = [("".join(segments[:k]), segments[k]) for k, role in enumerate(said.split()) if role == "assistant"]
+        rest = [] if said.endswith("assistant") else [("".join(segments), None)]
+        assert [(e.context, e.target) for e in rows[c]] == want + rest
+        masked = [(e.context + e.target)[e.loss_begin : e.loss_end] for e in rows[c] if e.target]
+        assert masked == [f"t{c}<\\|{k}" for k, role in enumerate(said.split()) if role == "assistant"]
+        assert (got[c].n_turns, got[c].n_examples, got[c].formatted_chars) == (len(segments), len(want), sum(map(len, segments)))
+
+
 # ---- quality
 
 
