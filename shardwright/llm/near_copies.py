@@ -15,6 +15,11 @@ from .components import connected_components
 BANDS, ROWS = 20, 5
 #: Orders by which a band's group chooses the member that the others are compared with; bands take turns.
 ORDERS = 5
+#: First members that the others of a group are compared with, turn by turn. In the last turn that is every two members of the
+#: groups of no more members; larger groups go to blocks.
+HUBS = (1, 4, 16)
+#: Shingles in a block of a large group, whose members a task compares with those of another block.
+BLOCK_SHINGLES = 1 << 18
 #: Rows of a table that may be sent whole to every executor; counted before it is.
 BROADCAST_ROWS = 100_000
 
@@ -116,6 +121,93 @@ def _to_verify(rest: DataFrame, hubs: int, turn: int, least: float, known: DataF
     return near.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
 
 
+def _hashed(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, t) to (node, h: the sorted 64-bit hashes of its distinct shingles)."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        from xxhash import xxh64_intdigest as xxh
+
+        for b in batches:
+            found = [np.unique(np.array([xxh(s) for s in shingles(v.as_py(), shingle)], np.uint64)).tobytes() for v in b.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], ["node", "h"])
+
+    return texts.select("node", "t").mapInArrow(run, "node bigint, h binary")
+
+
+def _shared(a: list, b: list, most: int = 1 << 21):
+    """How many numbers each array of a shares with each of b (arrays of distinct numbers), by products of matrices of at most `most` cells."""
+    import numpy as np
+
+    flat, of = [np.concatenate(x) for x in (a, b)], [np.repeat(np.arange(len(x)), [len(y) for y in x]) for x in (a, b)]
+    both = np.intersect1d(*map(np.unique, flat), assume_unique=True)
+    out, step = np.zeros((len(a), len(b)), np.int64), max(1, most // max(len(a), len(b)))
+    at = [np.searchsorted(both, f) for f in flat]
+    known = [(k < len(both)) & (both[np.minimum(k, len(both) - 1)] == f) if len(both) else np.zeros(len(f), bool) for k, f in zip(at, flat, strict=True)]
+    for first in range(0, len(both), step):
+        width, m = min(step, len(both) - first), []
+        for k in range(2):
+            ok = known[k] & (at[k] >= first) & (at[k] < first + width)
+            x = np.zeros((len((a, b)[k]), width), np.float32)
+            x[of[k][ok], at[k][ok] - first] = 1
+            m.append(x)
+        out += (m[0] @ m[1].T).astype(np.int64)
+    return out
+
+
+def _in_blocks(rest: DataFrame, known: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Links (a > b) that join exactly those members of each group (band, key, node, n) into components that are in one by pairs of similarity
+    `least` or more, together with what is known.
+
+    Members of the group's most frequent root are not compared with each other.  The others, and those by themselves, are dealt to blocks of
+    about BLOCK_SHINGLES shingles; a task takes two blocks with the 64-bit hashes of their whole shingle sets, counts what every two
+    members share and returns a forest of the links: rows follow the members, not their pairs, and no task holds more than two blocks.
+    """
+    group = ["band", "key"]
+    rest = cut(rest.join(known, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    main = rest.groupBy(*group, "root").agg(F.count(F.lit(1)).alias("c")).groupBy(*group).agg(F.max_by("root", F.struct("c", "root")).alias("main"))
+    rest = rest.join(main, group).withColumn("apart", F.col("root") != F.col("main"))
+    blocks = lambda of: F.ceil(F.coalesce(F.sum(F.when(of, F.col("n"))), F.lit(0)) / BLOCK_SHINGLES).cast("int")
+    sizes = rest.groupBy(*group).agg(blocks(F.col("apart")).alias("p"), blocks(~F.col("apart")).alias("q"))
+    rest = rest.join(sizes, group)
+    own = F.when(F.col("apart"), F.pmod(F.xxhash64("node"), "p")).otherwise(F.col("p") + F.pmod(F.xxhash64("node"), "q")).cast("int")
+    rest = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("apart"), F.col("p") + F.col("q")).otherwise(F.col("p")) - 1)))
+    rest = rest.select(*group, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root")
+    hashed = cut(_hashed(texts.join(rest.select("node").distinct(), "node", "left_semi"), shingle))
+
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+
+        pdf = pdf.sort_values("node", kind="stable")
+        h = [np.frombuffer(x, np.uint64) for x in pdf.h]
+        node, root, own = pdf.node.to_numpy(), pdf.root.to_numpy(), pdf.own.to_numpy()
+        left, right = np.flatnonzero(own == pdf.i.iloc[0]), np.flatnonzero(own == pdf.j.iloc[0])
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        n = np.array([len(x) for x in h])
+        both = _shared([h[k] for k in left], [h[k] for k in right])
+        x, y = np.nonzero((both / (n[left][:, None] + n[right] - both) >= least) & (root[left][:, None] != root[right]))
+        # Roots are the nodes of the forest: links within one tree add nothing.
+        up = {}
+
+        def top(r):
+            while r in up:
+                r = up[r]
+            return r
+
+        links = []
+        for k, m in zip(left[x].tolist(), right[y].tolist(), strict=True):
+            a, b = top(root[k]), top(root[m])
+            if a != b:
+                up[max(a, b)] = min(a, b)
+                links.append((max(node[k], node[m]), min(node[k], node[m])))
+        return pd.DataFrame(np.array(links, np.int64).reshape(-1, 2), columns=["a", "b"])
+
+    return rest.join(hashed, "node").groupBy(*group, "i", "j").applyInPandas(run, "a bigint, b bigint").distinct()
+
+
 def _left(rest: DataFrame, hubs: int, turn: int) -> DataFrame:
     """The groups without the hubs of this turn, which have been compared with all members; groups of one are done."""
     w = Window.partitionBy("band", "key").orderBy(F.xxhash64("node", F.col("band") % ORDERS, F.lit(turn)), "node")
@@ -142,9 +234,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     One row for each row of docs.  Equal texts are one node.  Two texts of similarity `least` share one of BANDS bands
     with a probability of 0.9996 at 0.8.  In a band's group all members are compared with the first of it, in the next turn what is not
-    linked yet with the next ones, of which there are more each turn, until every two members of every group are in one
-    component or have been compared: no link of a group is lost, and groups of near copies settle in the first turns.
-    more: a function of the rows (node, t) that gives further pairs (a > b) to look at.  Every pair is decided by its whole shingle sets.
+    linked yet with the next ones; then every two members of groups of up to 16 that are left are compared, and larger groups
+    go to blocks (_in_blocks), until every two members of every group are in one component or have been compared: no link of a
+    group is lost, groups of near copies settle in the first turns, and tables of pairs follow the members, not their square.
+    more: a function of the rows (node, t) that gives further pairs (a > b) to look at.  Every pair is decided by its whole
+    shingle sets, in blocks by their 64-bit hashes.
 
     Null text: empty; texts without words are equal.  A null id is linked but is never the smallest; a component of only null
     ids has a null component.  Rows repeating an id stay separate rows.  An empty table gives no rows; other columns are not read.
@@ -166,18 +260,27 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a")
         return cut(_verified(with_a.join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b"), least, shingle))
 
-    edges, known, turn, hubs = None, None, 0, 1
-    while turn == 0 or rest.limit(1).count():
+    edges, known = None, None
+    for turn, hubs in enumerate(HUBS):
+        if turn and not rest.limit(1).count():
+            break
+        if turn == len(HUBS) - 1:
+            many = rest.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > hubs).select("band", "key")
+            large = cut(rest.join(many, ["band", "key"], "left_semi"))
+            if large.limit(1).count():
+                edges = edges.unionByName(cut(_in_blocks(large, known, texts, shingle, least)))
+                rest = cut(rest.join(many, ["band", "key"], "left_anti"))
         pairs = cut(_to_verify(rest, hubs, turn, least, known))
         pairs = pairs.unionByName(told).distinct() if told is not None else pairs
         found, told = links(pairs), None
         edges = found if edges is None else edges.unionByName(found)
+        if turn == len(HUBS) - 1:
+            break
         known = cut(_labels(edges))
         rest = _left(rest, hubs, turn).join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
         # Groups whose members have one root are done.
         apart = rest.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "key")
         rest = cut(rest.drop("root").join(apart, ["band", "key"], "left_semi"))
-        turn, hubs = turn + 1, hubs * 4
     known = cut(connected_components(edges))
     ids = cut(rows.select("id", "node"))
     lows = ids.groupBy("node").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("rows"))

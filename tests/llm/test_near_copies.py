@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from shardwright.llm import near_copies, simhash
 
@@ -61,6 +63,43 @@ def test_no_link_of_a_group_is_lost(spark, monkeypatch):
     assert [got[i] for i, _ in rows] == want
 
 
+def test_large_groups_make_no_pairs_by_the_square(spark, monkeypatch):
+    """Large groups of mostly unlike texts: rows of pairs follow the members; links are those of brute force, also over many blocks."""
+    r = random.Random(14)
+    rows, base = [], [f"w{k}" for k in range(60)]
+    for k in range(240):
+        tail = [f"t{k // 2}_{j}" for j in range(25)]
+        tail[k % 2] = f"own{k}"
+        rows.append((k, " ".join(base + tail)))
+    rows += [(1000 + k, " ".join(base + [f"c{k}"])) for k in range(40)]  # near copies of each other
+    r.shuffle(rows)
+    sets = [brute_set(t) for _, t in rows]
+    want = brute_groups([i for i, _ in rows], lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
+    members, made, hashed, to_verify, in_blocks = [], [], [], near_copies._to_verify, near_copies._in_blocks
+
+    def counted(rest, *a):
+        out = to_verify(rest, *a).cache()
+        members.append(rest.count())
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "_to_verify", counted)
+    monkeypatch.setattr(near_copies, "_in_blocks", lambda rest, *a: hashed.append(rest.count()) or in_blocks(rest, *a))
+    for shingles_of_block in (1 << 18, 1000):
+        monkeypatch.setattr(near_copies, "BLOCK_SHINGLES", shingles_of_block)
+        members.clear(), made.clear(), hashed.clear()
+        got = {g.doc_id: g.component_id for g in near_copies.near_copies(docs(spark, rows)).collect()}
+        assert [got[i] for i, _ in rows] == want
+        assert hashed and hashed[0] > 16 and sum(made) <= 5 * members[0]
+
+
+def test_shared_counts_are_exact():
+    r = random.Random(15)
+    a, b = ([np.array(sorted(r.sample(range(60), r.randint(1, 30))), np.uint64) for _ in range(n)] for n in (7, 5))
+    for most in (1, 40, 1 << 20):
+        assert near_copies._shared(a, b, most).tolist() == [[len({*x.tolist()} & {*y.tolist()}) for y in b] for x in a]
+
+
 def test_ball_pairs_link_equal_and_close_fingerprints(spark):
     texts = ["a b c d e f g h"] + [f"w{k} " * 3 + "x y z" for k in range(5)] + ["A B c d e f g h"]
     rows = spark.createDataFrame(list(enumerate(texts)), "node long, t string")
