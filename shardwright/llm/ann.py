@@ -29,14 +29,14 @@ def _beam(x, graph, queries, entry, ef: int, wide: int | None = None):
     wide = wide or max(4, ef // 12)
     q, n = len(queries), len(graph)
     rows = np.arange(q)[:, None]
-    seen = np.zeros((q, n), bool)
+    seen = np.zeros(q * n, bool)
     ids = np.full((q, ef), -1, np.int64)
     sims = np.full((q, ef), -np.inf, np.float32)
     done = np.ones((q, ef), bool)
     ids[:, : entry.shape[1]] = entry
     sims[:, : entry.shape[1]] = np.einsum("qd,qkd->qk", queries, x[entry])
     done[:, : entry.shape[1]] = False
-    seen[rows, entry] = True
+    seen[rows * n + entry] = True
     while True:
         live = np.flatnonzero(~done.all(axis=1))
         if not len(live):
@@ -46,31 +46,32 @@ def _beam(x, graph, queries, entry, ef: int, wide: int | None = None):
         todo &= np.cumsum(todo, axis=1) <= wide
         at, col = np.nonzero(todo)
         done[live[at], col] = True
-        nb = graph[ids[live[at], col]]
-        src = np.repeat(at, nb.shape[1])
+        at = live[at]
+        nb = graph.take(ids[at, col], axis=0)
+        # Pairs of query and node as one number, in order; a node that two of them share is taken once.
+        key = np.repeat(at * np.int64(n), nb.shape[1])
         nb = nb.ravel()
-        ok = nb >= 0
-        src, nb = src[ok], nb[ok]
-        ok = ~seen[live[src], nb]
-        src, nb = src[ok], nb[ok]
-        # A node that two of them share is taken once.
-        key = np.sort(src * np.int64(n) + nb)
+        key += nb
+        key = key[nb >= 0]
+        key = key[~seen.take(key)]
+        key.sort()
         key = key[np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]]
-        src, nb = np.divmod(key, n)
-        seen[live[src], nb] = True
-        s = np.einsum("md,md->m", queries[live[src]], x[nb])
-        ok = s > sims[live[src], -1]
+        seen[key] = True
+        src = key // n
+        nb = key - src * n
+        s = np.einsum("md,md->m", queries.take(src, axis=0), x.take(nb, axis=0))
+        ok = s > sims[:, -1].take(src)
         src, nb, s = src[ok], nb[ok], s[ok]
         if not len(src):
             continue
-        count = np.bincount(src, minlength=len(live))
-        moved = np.flatnonzero(count)
-        place = np.arange(len(src)) - np.repeat(np.cumsum(count) - count, count)
-        new_s, new_i = np.full((len(live), count.max()), -np.inf, np.float32), np.full((len(live), count.max()), -1, np.int64)
-        new_s[src, place], new_i[src, place] = s, nb
-        m = live[moved]
-        all_s, all_i = np.concatenate([sims[m], new_s[moved]], 1), np.concatenate([ids[m], new_i[moved]], 1)
-        all_d = np.concatenate([done[m], new_i[moved] < 0], 1)
+        count = np.bincount(src, minlength=q)
+        m = np.flatnonzero(count)
+        place = np.arange(len(src)) - np.repeat((np.cumsum(count) - count)[m], count[m])
+        new_s, new_i = np.full((len(m), count.max()), -np.inf, np.float32), np.full((len(m), count.max()), -1, np.int64)
+        row = np.repeat(np.arange(len(m)), count[m])
+        new_s[row, place], new_i[row, place] = s, nb
+        all_s, all_i = np.concatenate([sims[m], new_s], 1), np.concatenate([ids[m], new_i], 1)
+        all_d = np.concatenate([done[m], new_i < 0], 1)
         order = np.argsort(-all_s, axis=1)[:, :ef]
         sims[m], ids[m], done[m] = (np.take_along_axis(a, order, 1) for a in (all_s, all_i, all_d))
 
