@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from .spool import records, together
+
 
 class Routed(NamedTuple):
     """A record that its maker sends to a shard of its own choice."""
@@ -47,8 +49,8 @@ def join_shards(inputs: list[tuple[DataFrame, str]], handler: Callable[[], Shard
 
     All records of input 0 go to its method, then those of input 1, and so on; then finish() is called.  Methods get a
     dict and yield tuples of `schema`, or to_shard(shard, ...) to send a record elsewhere; the result also has the shard: a
-    number, or with `named` the name that each record was sent to.  Records stream by Arrow batches, sorted by shard and
-    input; a shard is never collected, what a handler keeps is its own matter.  For joins and counts by key
+    number, or with `named` the name that each record was sent to.  Records stream by Arrow batches; those of later inputs
+    wait on the task's disk, so a shard is never collected; what a handler keeps is its own matter.  For joins and counts by key
     use DataFrame joins and groupBy, which spill and combine; this is for logic that has no such form.
     """
     tagged = []
@@ -58,35 +60,40 @@ def join_shards(inputs: list[tuple[DataFrame, str]], handler: Callable[[], Shard
         cols = [c for c in df.columns if c != shard]
         tagged.append(df.select(F.col(shard).cast("int").alias("__shard"), F.lit(k).alias("__input"), F.struct(*cols).alias(f"__r{k}")))
     union = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
-    placed = union.repartitionById(n_shards, F.col("__shard")).sortWithinPartitions("__shard", "__input")
+    placed = union.repartitionById(n_shards, F.col("__shard"))
     methods = [m for _, m in inputs]
     kind = _parse_datatype_string(f"{schema}, {shard} {'string' if named else 'int'}")
 
     def run(batches):
+        import itertools
+
         import pyarrow as pa
 
-        h, now = handler(), None
-        names, arrow = kind.names, to_arrow_schema(kind)
+        unset = object()
+        h, now = handler(), unset
+        arrow = to_arrow_schema(kind)
 
         def own(s):
             return f"{s:04d}" if named else s
 
         def batch(rows):
-            return pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], arrow)
-
-        for b in batches:
-            rows: list = []
-            for r in b.to_pylist():
-                s, k = r["__shard"], r["__input"]
-                if s != now:
-                    if now is not None:
-                        rows += placed_rows(h.finish(), own(now))
-                    now = s
-                    rows += placed_rows(h.start(s), own(now))
-                rows += placed_rows(getattr(h, methods[k])(r[f"__r{k}"]), own(now))
-            if rows:
+            columns = list(zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, arrow, strict=True)], schema=arrow)
+
+        def made(found, s):
+            found = iter(found or ())
+            while rows := placed_rows(itertools.islice(found, 10_000), own(s)):
                 yield batch(rows)
-        if now is not None and (rows := placed_rows(h.finish(), own(now))):
-            yield batch(rows)
+
+        for (s, k), part in together(batches, "__shard", "__input"):
+            if s != now:
+                if now is not unset:
+                    yield from made(h.finish(), now)
+                now = s
+                yield from made(h.start(s), s)
+            do = getattr(h, methods[k])
+            yield from made((x for r in records(part.column(part.schema.get_field_index(f"__r{k}"))) for x in do(r) or ()), s)
+        if now is not unset:
+            yield from made(h.finish(), now)
 
     return placed.mapInArrow(run, kind)

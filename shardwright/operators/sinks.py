@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Files that a task of Spark's own writer has open at once; only where its rows have more names are they sorted first.
+OPEN_FILES = 100
+
 
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -41,7 +46,8 @@ def write_shards(
     work = f"{path}/_work"
     if fmt == "txt" and compression != "zstd" and not max_bytes and level is None:
         text = rows.select("__name", F.col(value).cast("string").alias("value"))
-        text.write.option("compression", compression or "none").option("maxRecordsPerFile", max_records).partitionBy("__name").text(work)
+        with _open_files(spark, OPEN_FILES):
+            text.write.option("compression", compression or "none").option("maxRecordsPerFile", max_records).partitionBy("__name").text(work)
     else:
         write_framed(rows, qualified(spark, work), value, fmt, compression, max_records, max_bytes, level)
     out = []
@@ -60,6 +66,18 @@ def write_shards(
     return out
 
 
+@contextlib.contextmanager
+def _open_files(spark: SparkSession, n: int):
+    """Spark's writer keeps up to n files of a task open, instead of sorting the task's rows by name."""
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    had = spark.conf.get(key)
+    spark.conf.set(key, str(max(n, int(had))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, had)
+
+
 class _Part:
     """One file that is being written: an attempt's own name first, the final one when it is closed."""
 

@@ -1,6 +1,7 @@
 """Files: LST records, text, CSV, JSON, sharded sinks, pipelines."""
 
 import bz2
+import datetime
 import gzip
 import os
 import random
@@ -12,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from shardwright.operators.cogroup import ShardHandler, to_shard
+from shardwright.operators.cogroup import ShardHandler, join_shards, to_shard
 from shardwright.operators.pipeline import Pipeline, PipelineError
 from shardwright.sources import files, lst
 
@@ -319,3 +320,90 @@ def test_user_counters_arguments_and_routing(spark, tmp_path):
     assert text("routed") == {"low.txt": ["1", "2", "2"], "rest.txt": ["3", "4"]}
     assert p.counters["out"] == {"fn-writes": 4, "not-found": 1, "map-input-numbers": 5}
     assert p.counters["routed"]["seen"] == 5 and "not-found" not in p.counters["routed"]
+
+
+def plans_of(spark, run):
+    """The physical plans of the queries that ran."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    known = store.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return [store.executionsList().apply(k).physicalPlanDescription() for k in range(known, store.executionsCount())]
+
+
+def test_groups_of_a_task_come_together(monkeypatch):
+    import pyarrow as pa
+
+    from shardwright.operators import spool
+
+    monkeypatch.setattr(spool, "HELD", 2000)  # nearly every batch goes to disk
+    rng = random.Random(1)
+    rows = [(rng.choice([None, 0, 3, 1]), rng.randrange(3), k, {"a": str(k), "b": [k] * (k % 3)}) for k in range(3000)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip("gokx", r, strict=True)) for r in rows[k : k + 70]]) for k in range(0, 3000, 70)]
+    got = [(key, r) for key, b in spool.together(batches, "g", "o") for r in zip(*(b.column(c).to_pylist() for c in "gokx"), strict=True)]
+    assert [key for key, _ in got] == [r[:2] for _, r in got]
+    assert sorted(r[2] for _, r in got) == list(range(3000)) and all(rows[r[2]] == r for _, r in got)
+    keys = list(dict.fromkeys(key for key, _ in got))
+    assert len(keys) == 12 and [key for key, _ in got] == [key for key in keys for k, _ in got if k == key]
+    assert [k[1] for k in keys] == [0, 1, 2] * 4
+
+
+class Order(ShardHandler):
+    """Fails where an input comes before its turn; what it has seen comes at the end."""
+
+    def start(self, shard):
+        self.n, self.seen = 0, []
+        yield (f"start {shard}",)
+
+    def one(self, r):
+        assert not self.n
+        self.seen.append(r)
+
+    def two(self, r):
+        self.n += 1
+        yield (f"{r['w']}/{len(self.seen)}",)
+
+    def finish(self):
+        assert all(r.keys() == {"v", "w"} for r in self.seen)
+        return ((f"end {r['v']}",) for r in self.seen)
+
+
+def test_join_keeps_the_order_of_inputs_without_a_sort(spark, tmp_path):
+    n = 25_000
+    a = spark.range(0, n, 1, 7).select(F.col("id").alias("v"), F.lit(None).cast("int").alias("w"), F.pmod("id", F.lit(3)).alias("shard"))
+    b = spark.range(0, 90, 1, 5).select(F.struct("id").alias("v"), F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("w"), F.pmod("id", F.lit(3)).alias("shard"))
+    out = join_shards([(a, "one"), (b, "two")], Order, 2, "value string", named=True)  # shards 0 and 2 share a task
+    plan = out._jdf.queryExecution().toString()
+    assert "Sort" not in plan  # a sort of a whole shard takes memory as the shard grows
+    got = [(r.shard, r.value) for r in out.collect()]
+    size = {s: len(range(s, n, 3)) for s in range(3)}
+    assert sorted(got) == sorted(
+        [(f"000{s}", f"start {s}") for s in range(3)]
+        + [(f"000{k % 3}", f"{datetime.date(2020, 1, 1) + datetime.timedelta(k)}/{size[k % 3]}") for k in range(90)]
+        + [(f"000{k % 3}", f"end {k}") for k in range(n)]
+    )
+
+
+@pytest.mark.parametrize("shards", [3, 250])
+def test_text_sink_opens_files_instead_of_sorting(spark, tmp_path, shards):
+    p = Pipeline(spark, str(tmp_path))
+    p.read("in", spark.range(3000).select(F.col("id").cast("string").alias("value"))).with_custom(F.concat(F.lit("by/"), F.pmod("value", F.lit(shards)).cast("int"))).write("t", max_records=5)
+    plans = plans_of(spark, p.run)
+    assert plans and not any("Sort" in x for x in plans)
+    got = {}
+    for name, v in shards_of(tmp_path / "t"):
+        lines = v.split()
+        assert 0 < len(lines) <= 5
+        got.setdefault(name, []).extend(map(int, lines))
+    assert {k: sorted(v) for k, v in got.items()} == {f"by/{k}": list(range(k, 3000, shards)) for k in range(shards)}
+
+
+def shards_of(path):
+    return [(n.removesuffix(".txt").rpartition("-")[0], v) for n, v in shards(path).items()]
+
+
+def test_file_names_are_parsed_once_a_file(spark, sf):
+    from shardwright.queries import QUERIES
+
+    df = QUERIES["handler_counters_and_routes"](spark, sf)
+    assert "Aggregate [file" in df._jdf.queryExecution().optimizedPlan().toString()
