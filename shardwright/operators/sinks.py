@@ -7,6 +7,8 @@ import contextlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .spool import together, values
+
 #: Files that a task of Spark's own writer has open at once; only where its rows have more names are they sorted first.
 OPEN_FILES = 100
 
@@ -35,11 +37,14 @@ def write_shards(
     spark = df.sparkSession
     ext = {"txt": ".txt" + {None: "", "gzip": ".gz", "zstd": ".zst"}[compression], "lst": ".lst"}[fmt]
     name = F.format_string(f"{table}-shard-%04d", F.col(shard)) if n_shards else F.col(shard)
-    rows = df.select(name.alias("__name"), F.col(value))
-    keys = ["__name"] if pieces == 1 else ["__name", F.pmod(F.xxhash64(value, F.monotonically_increasing_id()), F.lit(pieces))]
-    # A stated number of partitions is kept as it is; without one, small partitions are merged again.
-    n = (n_shards or int(spark.conf.get("spark.sql.shuffle.partitions"))) * pieces if n_shards or pieces > 1 else None
-    rows = rows.repartition(n, *keys) if n else rows.repartition(*keys)
+    piece = F.pmod(F.xxhash64(value, F.monotonically_increasing_id()), F.lit(pieces))
+    if n_shards:  # every shard has tasks of its own
+        at = F.pmod(F.col(shard).cast("bigint") * pieces + (piece if pieces > 1 else 0), F.lit(n_shards * pieces)).cast("int")
+        rows = df.select(name.alias("__name"), F.col(value), at.alias("__at")).repartitionById(n_shards * pieces, F.col("__at")).drop("__at")
+    else:
+        # A stated number of partitions is kept as it is; without one, small partitions are merged again.
+        rows, keys = df.select(name.alias("__name"), F.col(value)), ["__name"] if pieces == 1 else ["__name", piece]
+        rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")) * pieces, *keys) if pieces > 1 else rows.repartition(*keys)
     fs, jpath = _fs(spark, path)
     if fs.exists(jpath(path)):
         raise ValueError(f"{path} exists")
@@ -111,26 +116,27 @@ def write_framed(rows: DataFrame, work: str, value: str, fmt: str, compression:
     """Files that Spark has no writer for, or that end by raw size, in the file system that `work` (with a scheme) names.
 
     Every task writes <work>/__name=<shard>/part-<task>-<number>, first under the name of its attempt; an attempt that
-    ends later replaces the same files.  Local, S3, GCS and HDFS paths are known; others are an error.
+    ends later replaces the same files.  Local, S3, GCS and HDFS paths are known; others are an error.  Rows of other
+    shards than a task's first wait on its disk, so that a task holds a few batches whatever the size of its shards.
     """
-    rows = rows.sortWithinPartitions("__name")
+    v = F.col(value) if rows.schema[value].dataType.typeName() == "binary" else F.col(value).cast("string").cast("binary")
+    rows = rows.select("__name", v.alias("value"))
 
     def run(batches):
         import itertools
         import urllib.parse
 
-        import pandas as pd
+        import pyarrow as pa
         from pyarrow.fs import FileSystem
         from pyspark import TaskContext
 
         fs, root = FileSystem.from_uri(work.replace("file:/", "file:///", 1) if work.startswith("file:/") and not work.startswith("file://") else work)
         task = TaskContext.get()
-        records = ((n, v.encode() if isinstance(v, str) else bytes(v)) for pdf in batches for n, v in zip(pdf["__name"], pdf[value], strict=True) if v is not None)
         done = []
-        for name, group in itertools.groupby(records, key=lambda r: r[0]):
+        for name, group in itertools.groupby(together(batches, "__name"), key=lambda r: r[0][0]):
             folder = f"{root}/__name={urllib.parse.quote(str(name), safe='')}"
             fs.create_dir(folder, recursive=True)
-            left = (v for _, v in group)
+            left = (v for _, b in group for v in values(b.column(1)) if v is not None)
             for k in itertools.count():
                 first = next(left, None)
                 if first is None:
@@ -148,9 +154,9 @@ def write_framed(rows: DataFrame, work: str, value: str, fmt: str, compression:
                 path = f"{folder}/part-{task.partitionId():05d}-{k:05d}"
                 _Part(fs, path, task.taskAttemptId(), fmt, compression, level).fill(some())
                 done.append(path)
-        yield pd.DataFrame({"path": pd.Series(done, dtype="object")})
+        yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["path"])
 
-    rows.mapInPandas(run, "path string").write.format("noop").mode("overwrite").save()
+    rows.mapInArrow(run, "path string").write.format("noop").mode("overwrite").save()
 
 
 def write_counters(spark: SparkSession, path: str, counters: dict[str, int]) -> None:

@@ -20,33 +20,34 @@ def together(batches: Iterable, group: str, order: str | None = None) -> Iterato
     import pyarrow as pa
 
     unset = object()
-    lead, held, size = unset, {}, 0
+    lead, held, size = unset, [], 0
     at: dict[tuple, list[tuple[int, int]]] = {}
     local = next((d for d in os.environ.get("SPARK_LOCAL_DIRS", "").split(",") if os.path.isdir(d)), None)
     packed = pa.ipc.IpcWriteOptions(compression="lz4" if pa.Codec.is_available("lz4") else None)
     with tempfile.TemporaryFile(dir=local) as f:
 
         def put():
-            for key, parts in held.items():
-                begin = f.tell()
-                with pa.ipc.new_stream(pa.PythonFile(f, "w"), parts[0].schema, options=packed) as to:
-                    for p in parts:
-                        to.write_batch(p)
-                at.setdefault(key, []).append((begin, f.tell() - begin))
+            for b in pa.Table.from_batches(held).combine_chunks().to_batches() if held else ():
+                for key, part in _parts(b, *_codes(b, group, order)):
+                    begin = f.tell()
+                    with pa.ipc.new_stream(pa.PythonFile(f, "w"), part.schema, options=packed) as to:
+                        to.write_batch(part)
+                    at.setdefault(key, []).append((begin, f.tell() - begin))
             held.clear()
 
         for b in batches:
-            for key, part in _parts(b, group, order):
-                if lead is unset and key[1] == 0:
-                    lead = key[0]
-                if key == (lead, 0):
-                    yield key, part
-                    continue
-                held.setdefault(key, []).append(part)
-                size += part.nbytes
-                if size > HELD:
-                    put()
-                    size = 0
+            names, codes, wide = _codes(b, group, order)
+            if lead is unset and (first := codes[codes % wide == 0][:1]).size:
+                lead = names[first[0] // wide]
+            mine = codes == (names.index(lead) * wide if lead in names else -1)
+            if mine.any():
+                yield (lead, 0), b if mine.all() else b.filter(pa.array(mine))
+            if not mine.all():
+                held.append(b.filter(pa.array(~mine)) if mine.any() else b)
+                size += held[-1].nbytes
+            if size > HELD:
+                put()
+                size = 0
         put()
         for key in sorted(at, key=lambda k: (k[0] != lead, k[0] is not None, () if k[0] is None else (k[0],), k[1])):
             for begin, n in at[key]:
@@ -55,25 +56,30 @@ def together(batches: Iterable, group: str, order: str | None = None) -> Iterato
                     yield key, part
 
 
-def _parts(b, group: str, order: str | None) -> Iterator[tuple[tuple, object]]:
+def _codes(b, group: str, order: str | None):
+    """A batch's groups, and for each row the place of its group times `wide` plus its order."""
     import numpy as np
-    import pyarrow as pa
 
-    if not b.num_rows:
-        return
     g = b.column(b.schema.get_field_index(group)).dictionary_encode(null_encoding="encode")
-    names, codes, wide = g.dictionary.to_pylist(), g.indices.to_numpy().astype(np.int64), 1
-    if order is not None:
-        o = b.column(b.schema.get_field_index(order)).to_numpy().astype(np.int64)
-        wide = int(o.max()) + 1
-        codes = codes * wide + o
-    if (codes == codes[0]).all():
-        yield (names[codes[0] // wide], int(codes[0] % wide)), b
-        return
+    codes = g.indices.to_numpy().astype(np.int64)
+    if order is None or not b.num_rows:
+        return g.dictionary.to_pylist(), codes, 1
+    o = b.column(b.schema.get_field_index(order)).to_numpy().astype(np.int64)
+    wide = int(o.max()) + 1
+    return g.dictionary.to_pylist(), codes * wide + o, wide
+
+
+def _parts(b, names: list, codes, wide: int) -> Iterator[tuple[tuple, object]]:
+    """((group, order), rows) of a batch."""
+    import numpy as np
+    import pyarrow as pa
+
     rows = np.argsort(codes, kind="stable")
     found, first = np.unique(codes[rows], return_index=True)
+    if len(found) > 1:
+        b = b.take(pa.array(rows))
     for c, lo, hi in zip(found, first, [*first[1:], len(rows)], strict=True):
-        yield (names[c // wide], int(c % wide)), b.take(pa.array(rows[lo:hi]))
+        yield (names[c // wide], int(c % wide)), b.slice(lo, hi - lo)
 
 
 def values(column) -> list:

@@ -5,6 +5,7 @@ import datetime
 import gzip
 import os
 import random
+import re
 import zlib
 
 import pytest
@@ -407,3 +408,24 @@ def test_file_names_are_parsed_once_a_file(spark, sf):
 
     df = QUERIES["handler_counters_and_routes"](spark, sf)
     assert "Aggregate [file" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("fmt", ["txt", "lst"])
+@pytest.mark.parametrize("named", [True, False])
+def test_framed_sink_has_no_sort(spark, tmp_path, fmt, named):
+    p = Pipeline(spark, str(tmp_path))
+    # 40 names over few tasks, and nulls
+    rows = spark.range(0, 4000, 1, 7).select("id", F.when(F.col("id") % 10 != 9, F.concat(F.col("id").cast("string"), F.lit("x"))).alias("value"))
+    t = p.read("in", rows)
+    t = t.with_custom(F.concat(F.lit("a b/"), F.pmod("id", F.lit(40)).cast("string"))) if named else t.with_mod_n(3, F.col("id"))
+    t.write("t", fmt, compression="zstd" if fmt == "txt" else None, max_bytes=500)
+    plans = plans_of(spark, p.run)
+    assert plans and not any("Sort" in x for x in plans)  # a sort of a whole shard takes memory as the shard grows
+    got = {}
+    for name, v in shards(tmp_path / "t").items():
+        lines = list(lst.Decoder(v).records()) if fmt == "lst" else files.decompress(v).split(b"\n")[:-1]
+        assert sum(len(x) + (fmt == "txt") for x in lines[:-1]) < 500
+        got.setdefault(re.sub(r"(-\d{3})?[.].*", "", name), []).extend(lines)
+    n, head = (40, "a b/{}") if named else (3, "t-shard-000{}")
+    want = {head.format(k): [b"%dx" % i for i in range(k, 4000, n) if i % 10 != 9] for k in range(n)}
+    assert {k: sorted(v, key=lambda x: int(x[:-1])) for k, v in got.items()} == {k: v for k, v in want.items() if v}
